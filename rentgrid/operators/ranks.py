@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentgrid.operators.skew import attach_per_key
+
 #: Up to this many values a group is small enough for the built-in ``percentile``.
 SMALL_VALUES = 1_000_000
 
@@ -26,23 +28,30 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(4096, 2 * partitions))
 
 
-def profile(df: DataFrame, value: str | Column, buckets: int | None = None) -> tuple[int, list[float]]:
-    """Number of non-null values, and approximate quantiles that cut them into even buckets.
+def profiles(df: DataFrame, values: Sequence[str | Column],
+             buckets: int | None = None) -> list[tuple[int, list[float]]]:
+    """Per column: the number of non-null values, and approximate quantiles that cut them evenly.
 
-    One pass with a fixed-size sketch. The cuts only balance the work: results are
+    One pass with fixed-size sketches. The cuts only balance the work: results are
     exact for any strictly increasing list.
     """
     n = buckets or bucket_count(df)
-    column = (F.col(value) if isinstance(value, str) else value).cast("double")
     probabilities = F.array(*[F.lit(i / n) for i in range(1, n)])
-    row = df.agg(F.count(column).alias("n"),
-                 F.percentile_approx(column, probabilities, 20 * n).alias("s")).first()
-    cuts = {float(x) for x in (row["s"] or []) if x == x and abs(x) != float("inf")}
-    return row["n"], sorted(cuts)
+    columns = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in values]
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (
+        F.count(c).alias(f"n{i}"), F.percentile_approx(c, probabilities, 20 * n).alias(f"s{i}"))]).first()
+    return [(row[f"n{i}"], sorted({float(x) for x in (row[f"s{i}"] or [])
+                                   if x == x and abs(x) != float("inf")})) for i in range(len(columns))]
+
+
+def profile(df: DataFrame, value: str | Column, buckets: int | None = None) -> tuple[int, list[float]]:
+    return profiles(df, [value], buckets)[0]
 
 
 def splitters(df: DataFrame, value: str | Column, buckets: int | None = None) -> list[float]:
-    return profile(df, value, buckets)[1]
+    """Bucket edges, or none when the counted values fit one ordered pass per group."""
+    n, cuts = profile(df, value, buckets)
+    return cuts if n > SMALL_VALUES else []
 
 
 def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str = "_b") -> DataFrame:
@@ -73,10 +82,15 @@ def running_totals(counts: DataFrame, by: Sequence[str], value: str, weights: Se
     runs on bucket totals, so it sees at most ``len(splits) + 1`` rows a group.
     """
     by = list(by)
+    whole = Window.partitionBy(*by)
+    if not splits:
+        earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_before") for w in weights],
+            *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights])
     cut = with_bucket(counts, value, splits)
     totals = cut.groupBy(*by, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "_b",
         *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
@@ -117,27 +131,32 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str, weights:
     position are ordered; all others stop at their totals.
     """
     by = list(by)
-    cut = with_bucket(counts, value, splits)
-    totals = cut.groupBy(*by, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    spans = totals.select(
-        *by, "_b", *[f"_s_{w}" for w in weights],
-        *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
-        *[F.sum(f"_s_{w}").over(whole).alias(f"_n_{w}") for w in weights])
     wanted = [(w, p, f"_t_{i}_{j}") for i, w in enumerate(weights) for j, p in enumerate(positions)]
-    spans = spans.select("*", *[positions[p](F.col(f"_n_{w}")).cast("long").alias(t)
-                                for w, p, t in wanted])
-    holds = F.lit(False)
-    for w, _, t in wanted:
-        start = F.col(f"_o_{w}")
-        holds = holds | F.coalesce((F.col(t) >= start) & (F.col(t) < start + F.col(f"_s_{w}")),
-                                   F.lit(False))
-    chosen = spans.where(holds).drop(*[f"_s_{w}" for w in weights])
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.join(chosen, [*by, "_b"]).select(
-        "*", *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"_p_{w}")
-               for w in weights])
+    targets = [positions[p](F.col(f"_n_{w}")).cast("long").alias(t) for w, p, t in wanted]
+    if not splits:
+        earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        local = counts.select(
+            "*", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_p_{w}") for w in weights],
+            *[F.sum(w).over(whole).alias(f"_n_{w}") for w in weights]).select("*", *targets)
+    else:
+        cut = with_bucket(counts, value, splits)
+        totals = cut.groupBy(*by, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+        earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        spans = totals.select(
+            *by, "_b", *[f"_s_{w}" for w in weights],
+            *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
+            *[F.sum(f"_s_{w}").over(whole).alias(f"_n_{w}") for w in weights]).select("*", *targets)
+        holds = F.lit(False)
+        for w, _, t in wanted:
+            start = F.col(f"_o_{w}")
+            holds = holds | F.coalesce((F.col(t) >= start) & (F.col(t) < start + F.col(f"_s_{w}")),
+                                       F.lit(False))
+        chosen = spans.where(holds).drop(*[f"_s_{w}" for w in weights])
+        inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        local = cut.join(chosen, [*by, "_b"]).select(
+            "*", *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"_p_{w}")
+                   for w in weights])
     picks = [F.max(F.when((F.col(t) >= F.col(f"_p_{w}")) &
                           (F.col(t) < F.col(f"_p_{w}") + F.col(w)), F.col(value))).alias(f"{w}__{p}")
              for w, p, t in wanted]
@@ -278,3 +297,15 @@ def top_share(df: DataFrame, by: Sequence[str], owner: str, fraction: float) ->
     return ranked.groupBy(*by).agg(
         (F.sum(taken * F.col("size")) / F.max("rows")).alias("top_share"),
         F.max("all_owners").alias("owners"))
+
+
+def attach_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "__rank") -> DataFrame:
+    """Average rank of each column beside the rows; repeated values are split over tasks."""
+    out = df
+    for c, (n, cuts) in zip(columns, profiles(df, columns)):
+        splits = cuts if n > SMALL_VALUES else []
+        ranked = average_ranks(df, [], F.col(c).cast("double"), splits, "_rv").select(
+            F.col("_rv").alias(f"_k_{c}"), F.col("rank").alias(c + suffix), F.col("c").alias("_size"))
+        keyed = out.withColumn(f"_k_{c}", F.col(c).cast("double"))
+        out = attach_per_key(keyed, ranked, [f"_k_{c}"], "_size", rows=n).drop(f"_k_{c}", "_size")
+    return out

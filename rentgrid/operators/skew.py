@@ -14,16 +14,19 @@ SALTS = 64
 
 def attach_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str,
                    hot_rows: int = HOT_ROWS, salts: int = SALTS, keep_size: bool = True,
-                   how: str = "left") -> DataFrame:
+                   how: str = "left", rows: int | None = None) -> DataFrame:
     """Join a table with one row per key, splitting the keys that are hot in ``df``.
 
     ``size`` names the column of ``per_key`` with the number of rows of ``df``
     behind that key. The keys above ``hot_rows`` number at most
     ``rows / hot_rows``, so the list of them is small whatever the data, and is
     the only thing broadcast. Their rows get a salt and their one row of
-    ``per_key`` is repeated once per salt. The other keys join as usual.
+    ``per_key`` is repeated once per salt. The other keys join as usual. A caller
+    that has counted ``df`` passes ``rows``: below ``hot_rows`` no key can be hot.
     """
     keys = list(keys)
+    if rows is not None and rows <= hot_rows:
+        return df.join(per_key if keep_size else per_key.drop(size), keys, how)
     hot = per_key.where(F.col(size) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0))
     left = (df.join(F.broadcast(hot), keys, "left")
