@@ -39,6 +39,24 @@ def attach_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], size:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def skewed_join(big: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner",
+                hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Equi join in which some keys may hold a large part of ``big``.
+
+    Keys with more than ``hot_rows`` rows are found by a plain count (there are at
+    most ``rows / hot_rows`` of them, which bounds the broadcast). Their rows in
+    ``big`` are salted and their rows in ``other`` repeated once per salt.
+    """
+    keys = list(keys)
+    hot = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                      .where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
+    left = big.join(hot, keys, "left").withColumn("_salt", F.when(
+        F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 

@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from rentgrid.plans import audits, flagship, market, statistics  # noqa: F401
+from rentgrid.plans import audits, flagship, market, places, statistics  # noqa: F401
 from rentgrid.plans.registry import ORACLE, QUERIES  # noqa: F401
