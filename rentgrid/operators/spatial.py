@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions import hexgrid as H
 from rentgrid.operators.skew import skewed_join
+from rentgrid.session import cut_lineage
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -210,8 +211,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, point_id: str, targe
 def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, columns: Sequence[str],
                     mask: Column | None = None) -> DataFrame:
     """Point in polygon, else the closest polygon; ``how`` says ``contem`` or ``proximo``."""
-    named = point_in_polygon(points, polygons, point_id, columns)
-    found = named.where("matches > 0")
+    # read three times below, so the point-in-polygon join is written once
+    named = cut_lineage(point_in_polygon(points, polygons, point_id, columns))
     rest = named.where("matches = 0 AND x IS NOT NULL AND y IS NOT NULL").select(
         F.col(point_id).alias("_p"), "x", "y")
     allowed = polygons if mask is None else polygons.where(mask)
