@@ -137,14 +137,14 @@ def roll_up(df: DataFrame, parent: str, features: Sequence[str]) -> DataFrame:
     return df.where(F.col(parent).isNotNull()).groupBy(parent).agg(*[F.avg(f).alias(f) for f in features])
 
 
-def rent_ratio(df: DataFrame, cells: DataFrame, cell: str, price: str, rent: str, min_n: int = 5) -> DataFrame:
-    """Median nightly price x 30 over the mean rent of the cell, from ``min_n`` listings on."""
-    rows = df.where(F.col(price).isNotNull() & F.col(cell).isNotNull())
+def rent_ratio(df: DataFrame, cells: DataFrame, cell: str, revenue: str, rent: str, min_n: int = 5) -> DataFrame:
+    """Percent by which the median yearly revenue exceeds a year of the cell's mean rent."""
+    rows = df.where(F.col(revenue).isNotNull() & F.col(cell).isNotNull())
     sizes = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
-    middle = medians(rows, [cell], {"price": F.col(price)})
+    middle = medians(rows, [cell], {"revenue": F.col(revenue)})
     rents = cells.groupBy(cell).agg(F.avg(rent).alias("rent"))
     return sizes.join(middle, cell).join(rents, cell).select(
-        cell, "n", F.try_divide(30 * F.col("price"), F.col("rent")).alias("rent_ratio"))
+        cell, "n", (100 * (F.try_divide(F.col("revenue"), 12 * F.col("rent")) - 1)).alias("over_rent_pct"))
 
 
 def station_complexes(df: DataFrame, key: str, name: str, order: str, x: str, y: str, lines: str) -> DataFrame:

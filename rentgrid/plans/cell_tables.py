@@ -95,11 +95,11 @@ def roll_up(spark, sf):
     return rounded(C.roll_up(with_cell(points(spark, sf), 6), "cell", ["balance", "lat"]))
 
 
-@query("rent_ratio", f"""WITH {PO}, p AS (SELECT cell, count(*) AS n, median(price / 1000) AS price FROM po GROUP BY cell HAVING count(*) >= 5),
-r AS (SELECT cell, avg(balance) AS rent FROM pc GROUP BY cell) SELECT cell, n, {rd('30 * price / nullif(rent, 0)')} AS rent_ratio FROM p JOIN r USING (cell)""")
+@query("rent_ratio", f"""WITH {PO}, p AS (SELECT cell, count(*) AS n, median(price) AS revenue FROM po GROUP BY cell HAVING count(*) >= 5),
+r AS (SELECT cell, avg(balance) AS rent FROM pc GROUP BY cell)
+SELECT cell, n, {rd('100 * (revenue / nullif(12 * rent, 0) - 1)', 4)} AS over_rent_pct FROM p JOIN r USING (cell)""")
 def rent_ratio(spark, sf):
-    o = placed_orders(spark, sf).withColumn("night", F.col("price") / 1000)
-    return rounded(C.rent_ratio(o, with_cell(points(spark, sf), 8), "cell", "night", "balance"))
+    return rounded(C.rent_ratio(placed_orders(spark, sf), with_cell(points(spark, sf), 8), "cell", "price", "balance"), 4)
 
 
 @query("station_complexes", f"""WITH s AS (SELECT s_nationkey AS complex, s_suppkey, s_name, s_acctbal, (s_suppkey % 5) || ' ' || (s_suppkey % 3) AS lines FROM supplier),
