@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.operators import validation as V
+from rentgrid.operators.cells import require_unique
 from rentgrid.operators.panel import share, spearman
 from rentgrid.session import cut_lineage
 
@@ -327,8 +328,8 @@ class Step:
 
 def ladder(df: DataFrame, steps: Mapping[str, Step], id_column: str, y: str, fold: str, block: str,
            k: int = V.FOLDS) -> tuple[DataFrame, dict[str, OutOfFold]]:
-    """Out-of-fold predictions of every step beside ``id, fold, block, y``."""
-    table, fits = df.select(id_column, y, fold), {}
+    """Out-of-fold predictions of every step beside ``id, y, fold``; ``id`` must be unique."""
+    table, fits = require_unique(df.select(id_column, y, fold), id_column), {}
     for name, s in steps.items():
         column = f"oof_{name}"
         if s.kind == "median":

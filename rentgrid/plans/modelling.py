@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rentgrid.functions import hexgrid as H
@@ -41,12 +42,15 @@ def rows(spark, sf):
     """The modelling table, written once: every fit and report reads it."""
     l, p, o = read(spark, sf, "lineitem"), read(spark, sf, "part"), read(spark, sf, "orders")
     place = cell_features(spark, sf)
+    # order and line number repeat in this table; the copies get a number of their own
+    copy = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     split = F.when(F.col("o_orderdate") < F.lit(SPLIT).cast("timestamp"), "A").otherwise("B")
     wide = (l.join(p.select("p_partkey", "p_size", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
             .join(o.select("o_orderkey", "o_custkey", split.alias("snapshot")), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(place, F.col("l_suppkey") == F.col("station_id")))
     return cut_lineage(V.block_folds(wide.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.log("l_extendedprice").alias("y"), "block",
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.row_number().over(copy)).alias("id"), F.log("l_extendedprice").alias("y"), "block",
         "cell", "snapshot", "district", "neighbourhood", F.col("o_custkey").alias("host_id"),
         F.col("l_returnflag").alias("room_type"), (F.col("l_linenumber") >= 4).alias("long_stay"),
         F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("line"),
