@@ -87,10 +87,12 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> tup
 def validation_blocks(df: DataFrame, block: str, fold: str, k: int, part: float = 0.15, seed: int = V.SEED) -> DataFrame:
     """``(block, held)``: the folds whose *training* keeps this block aside for early stopping.
 
-    A block is never held for its own fold, so the test fold stays untouched.
+    Only rows outside the test fold are ever held: with block folds a block is never
+    held for its own fold, with random folds its training rows are.
     """
-    blocks = df.groupBy(block).agg(F.min(fold).alias("f"))
-    folds = blocks.select(block, "f", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")).where("f <> j")
+    blocks = df.groupBy(block).agg(F.min(fold).alias("f"), F.max(fold).alias("g"))
+    folds = blocks.select(block, "f", "g", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")).where(
+        "f <> j OR g <> j")
     # one row per block and fold: blocks, not data rows, share this window
     order = Window.partitionBy("j").orderBy(F.xxhash64(F.col(block), F.col("j"), F.lit(seed)), F.col(block))
     size = F.count(F.lit(1)).over(Window.partitionBy("j"))
