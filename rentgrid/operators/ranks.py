@@ -54,13 +54,13 @@ def splitters(df: DataFrame, value: str | Column, buckets: int | None = None) ->
     return cuts if n > SMALL_VALUES else []
 
 
-def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str = "_b") -> DataFrame:
+def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str = "__bucket") -> DataFrame:
     if not splits:
         return df.withColumn(name, F.lit(0))
     edges = [-float("inf"), *splits, float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="_bv", outputCol="_bo", handleInvalid="keep")
-    out = cut.transform(df.withColumn("_bv", F.col(value).cast("double")))
-    return out.withColumn(name, F.col("_bo").cast("int")).drop("_bv", "_bo")
+    cut = Bucketizer(splits=edges, inputCol="__bucket_value", outputCol="__bucket_raw", handleInvalid="keep")
+    out = cut.transform(df.withColumn("__bucket_value", F.col(value).cast("double")))
+    return out.withColumn(name, F.col("__bucket_raw").cast("int")).drop("__bucket_value", "__bucket_raw")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str | Column,
@@ -89,14 +89,14 @@ def running_totals(counts: DataFrame, by: Sequence[str], value: str, weights: Se
             "*", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_before") for w in weights],
             *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights])
     cut = with_bucket(counts, value, splits)
-    totals = cut.groupBy(*by, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "__bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_b",
+        *by, "__bucket",
         *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
         *[F.sum(f"_s_{w}").over(whole).alias(f"{w}_total") for w in weights])
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut.join(offsets, [*by, "_b"])
+    inside = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(offsets, [*by, "__bucket"])
     return joined.select(
         *counts.columns,
         *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{w}_before")
@@ -141,10 +141,10 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str, weights:
             *[F.sum(w).over(whole).alias(f"_n_{w}") for w in weights]).select("*", *targets)
     else:
         cut = with_bucket(counts, value, splits)
-        totals = cut.groupBy(*by, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-        earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        totals = cut.groupBy(*by, "__bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+        earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
         spans = totals.select(
-            *by, "_b", *[f"_s_{w}" for w in weights],
+            *by, "__bucket", *[f"_s_{w}" for w in weights],
             *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
             *[F.sum(f"_s_{w}").over(whole).alias(f"_n_{w}") for w in weights]).select("*", *targets)
         holds = F.lit(False)
@@ -153,8 +153,8 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str, weights:
             holds = holds | F.coalesce((F.col(t) >= start) & (F.col(t) < start + F.col(f"_s_{w}")),
                                        F.lit(False))
         chosen = spans.where(holds).drop(*[f"_s_{w}" for w in weights])
-        inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        local = cut.join(chosen, [*by, "_b"]).select(
+        inside = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        local = cut.join(chosen, [*by, "__bucket"]).select(
             "*", *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"_p_{w}")
                    for w in weights])
     picks = [F.max(F.when((F.col(t) >= F.col(f"_p_{w}")) &
