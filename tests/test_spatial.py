@@ -68,7 +68,7 @@ def test_nearest_with_hot_cells(places, monkeypatch):
 
 
 def square(x, y, side):
-    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+    return [(float(a), float(b)) for a, b in ((x, y), (x + side, y), (x + side, y + side), (x, y + side))]
 
 
 @pytest.fixture(scope="module")
@@ -117,9 +117,9 @@ def test_moran(spark):
 
 
 def test_lisa_finds_core(spark):
-    hot = disk(spark, 5, lambda x, y: F.when(H.distance(x, y, F.lit(0.0), F.lit(0.0)) < 1500, 10.0).otherwise(0.0)
+    hot = disk(spark, 8, lambda x, y: F.when(H.distance(x, y, F.lit(0.0), F.lit(0.0)) < 2900, 10.0).otherwise(0.0)
                + F.pmod(F.xxhash64("cell"), F.lit(100)) / 100.0)
-    got = ST.lisa(hot, "cell", "v", permutations=199)
+    got = ST.lisa(hot, "cell", "v", permutations=999)
     labels = {r["cluster"] for r in got.collect()}
     assert "Alto-Alto" in labels
     lone = hot.unionByName(spark.sql("select 9e5D x, 9e5D y").select(H.cell("x", "y", 8).alias("cell"), F.lit(1.0).alias("v")))
