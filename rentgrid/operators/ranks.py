@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rentgrid.operators.skew import attach_per_key
 
 #: Up to this many values a group is small enough for the built-in ``percentile``.
-SMALL_VALUES = 1_000_000
+SMALL_VALUES = 4_000_000
 
 Position = Callable[[Column], Column]
 
