@@ -329,3 +329,22 @@ def weighted_corr(x: str, y: str, w: str) -> Column:
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(F.when(vx > 0, vx)) / F.sqrt(F.when(vy > 0, vy)))
 
 
+
+
+# --- order and samples -------------------------------------------------------------------
+
+def top_n(df: DataFrame, by: str, n: int, tie: str, largest: bool = True) -> DataFrame:
+    """The ``n`` rows with the largest (or smallest) value, ties by ``tie``; each task keeps n rows."""
+    return df.orderBy(F.desc(by) if largest else F.asc(by), tie).limit(n)
+
+
+def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows in a seeded hash order: the same rows whatever the partitioning."""
+    return df.orderBy(F.xxhash64(F.col(id_column), F.lit(seed)), id_column).limit(n)
+
+
+def feature_group(df: DataFrame, feature: str, groups: Mapping[str, str], default: str = "listing",
+                  name: str = "source") -> DataFrame:
+    """Source group of each feature name in a result table."""
+    pairs = F.create_map(*[F.lit(x) for kv in (groups or {"": default}).items() for x in kv])
+    return df.withColumn(name, F.coalesce(F.try_element_at(pairs, F.col(feature)), F.lit(default)))

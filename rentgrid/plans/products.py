@@ -125,9 +125,15 @@ def summary(spark, sf):
     return rounded(P.summary({"kpis": (k, ["snapshot"])}), 4)
 
 
-@query("hash_sample", None)
+@query("hash_sample")
 def hash_sample(spark, sf):
-    return read(spark, sf, "orders").orderBy(F.xxhash64(F.col("o_orderkey"), F.lit(42)), "o_orderkey").limit(100).select("o_orderkey")
+    return panel.hash_sample(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+@query("top_n", f"""SELECT o_custkey, {rd('sum(o_totalprice)', 2)} AS total FROM orders GROUP BY o_custkey ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 10""")
+def top_n(spark, sf):
+    totals = read(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    return rounded(panel.top_n(totals, "total", 10, "o_custkey"), 2)
 
 
 @query("picked_month", f"""WITH {MONTHS} SELECT '1999-12' AS month, {rd("max(value) FILTER (WHERE month = '1999-12')", 2)} AS value FROM m""")

@@ -100,3 +100,10 @@ def test_manifest(spark):
     m = {r["path"]: r for r in merge_manifest(old, new).collect()}
     assert (m["a"]["accessed_at"], m["a"]["query"], m["a"]["verified_at"], m["a"]["previous_sha256"]) == ("d1", "q1", "d2", None)
     assert (m["b"]["accessed_at"], m["b"]["sha256"], m["b"]["previous_sha256"]) == ("d2", "z", "y")
+
+
+def test_hash_sample_is_stable(spark):
+    from rentgrid.operators.panel import hash_sample
+    df = spark.range(1000)
+    want = {r[0] for r in hash_sample(df.repartition(1), "id", 20).collect()}
+    assert len(want) == 20 and want == {r[0] for r in hash_sample(df.repartition(7), "id", 20).collect()}
