@@ -32,3 +32,27 @@ def tokenizer_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rentgrid.llm import bpe
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op2_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (h) WHERE win.doc_id > firsts.m),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM (SELECT doc_id, i, unnest(range(0, 50)) AS j FROM hit)),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY k) AS s
+         FROM word LEFT JOIN gone USING (doc_id, k) WHERE gone.k IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import substring
+    return substring.removed_words(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import simhash
+    return simhash.groups(table(spark, sf_dir, "documents"))
