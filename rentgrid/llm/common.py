@@ -36,23 +36,36 @@ def per_document(df: DataFrame, carried: Sequence[str], text: str, schema: str,
                  columns: Callable[[list[str]], dict[str, list]]) -> DataFrame:
     """Rows of ``carried`` with what ``columns(texts)`` derives from whole texts (null: empty), a batch at a time.
 
-    ``schema`` names the derived columns. Only ``carried`` and ``text`` are read.
+    ``schema`` names the derived columns. Only ``carried`` and ``text`` are read, and
+    the text once where it is carried too.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("string").alias("__text"))
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    source = text if text in carried else "__text"
+    kept = df.select(*[F.col(f"`{c}`") for c in carried],
+                     *([] if text in carried else [F.col(f"`{text}`").cast("string").alias("__text")]))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:len(carried)]]
     derived = [part.strip().split(" ")[0] for part in schema.split(",")]
     names = [*carried, *derived]
 
     def run(batches):
-        for batch in text_batches(batches, "__text"):
-            made = columns([t or "" for t in batch.column("__text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(carried))], *[pa.array(made[c]) if not isinstance(made[c], pa.Array)
-                                                                   else made[c] for c in derived]], names=names)
+        for batch in text_batches(batches, source):
+            made = columns([t or "" for t in batch.column(source).to_pylist()])
+            new = [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c]) for c in derived]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(carried)], *new], names=names)
 
     return kept.mapInArrow(run, ", ".join([*types, schema]))
 
 
+def packed(documents: DataFrame, *used: str, text: str = "text") -> DataFrame:
+    """``used``, the text and ``__row``, a struct of all other columns, so that no column can clash with a derived one."""
+    rest = [F.col(f"`{c}`") for c in documents.columns if c != text]
+    return documents.select(*used, text, F.struct(*rest).alias("__row"))
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFrame:
+    """The original ``columns`` of packed rows, some of them ``changed``."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(f"__row.`{c}`").alias(c) for c in columns])
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, label: str, modulus: int, remainder: int,
                     rows: int, seed: str = "sample") -> DataFrame:
     """At most about ``rows`` labelled training rows ``(documents..., label)``, drawn by a hash of the key.

@@ -56,3 +56,79 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rentgrid.llm import simhash
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import quality
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_mixing", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT source, words, [5, 2, 1][(i % 3) + 1]::BIGINT AS weight FROM s),
+o AS (SELECT *, sum(words) OVER () - 3 * coalesce(sum(words) OVER (ORDER BY words * 3.0 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY words * 3.0 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
+l AS (SELECT arg_min(rest, (words * 3.0 / weight, coalesce(source, chr(1114111)))) AS rest, arg_min(open_weight, (words * 3.0 / weight, coalesce(source, chr(1114111)))) AS open_weight
+      FROM o WHERE 3 * words * open_weight >= rest * weight),
+t AS (SELECT w.source, words, CASE WHEN 3 * words * l.open_weight < l.rest * weight THEN (3 * words)::DOUBLE
+             ELSE l.rest::DOUBLE * weight / l.open_weight END AS target FROM w, l),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
+p AS (SELECT d.doc_id, d.size, q.words, q.target, CASE WHEN q.words = 0 THEN 0 ELSE q.quota // q.words END AS times,
+             CASE WHEN q.words = 0 THEN 0 ELSE q.quota % q.words END AS more,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, words AS source_size, target, (times * size + greatest(0, least(size, more - before)))::BIGINT AS taken FROM p""")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import mixing
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '(\\*(?:\[/?INST\]|</?s>|<</?SYS>>|\[ROLE=[^\]\s]*\]|\[/ROLE\]))', '\\\1', 'g') AS written FROM c),
+m AS (SELECT *, length(written) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17
+                ELSE 16 + length(url_encode(role)) END AS chars FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id""")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import chat
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import language
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+      FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import topk
+    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import toxicity
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import forest
+    return forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

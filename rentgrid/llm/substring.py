@@ -29,47 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.llm.common import text_batches
+from rentgrid.llm.common import packed, text_batches, unpacked
+from rentgrid.llm.words import Batch, mixed, powers, word_hashes
 from rentgrid.session import shared_table
 
 WINDOW = 50
 #: Words in an anchor; a window holds ``WINDOW - GROUP + 1`` of them.
 GROUP = 12
-#: Odd multipliers of the word and sequence hashes.
-LETTER, WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: The odd multiplier of the hash of a word sequence.
+WORD = 0xD6E8FEB86659FD93
 BATCH = 2 << 20
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions where words begin and end; words are what lies between ASCII white space."""
-    letters = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[0], ((letters != 32) & ((letters < 9) | (letters > 13))).view(np.int8), [0]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
-
-
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    lengths = ends - starts
-    total = np.cumsum(lengths)
-    place = np.arange(total[-1]) - np.repeat(total - lengths, lengths)
-    letters = np.frombuffer(raw, np.uint8)[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-    return mixed(np.add.reduceat(letters * powers(LETTER, int(lengths.max()))[place], total - lengths))
-
-
 class Parse:
     """The blocks and windows of one document, from the hashes of its words."""
 
@@ -125,15 +96,11 @@ class Parse:
 
 def parsed(batch_texts: list, window: int, group: int):
     """For each text (bytes or None): the text, its word positions and its parse."""
-    texts = [t or b"" for t in batch_texts]
-    joined = b"\n".join(texts)
-    starts, ends = word_spans(joined)
-    hashes = word_hashes(joined, starts, ends)
-    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    cuts = np.searchsorted(starts, offsets)
-    for i, text in enumerate(texts):
-        own = slice(cuts[i], cuts[i + 1])
-        yield text, starts[own] - offsets[i], ends[own] - offsets[i], Parse(hashes[own], window, group)
+    batch = Batch(batch_texts)
+    hashes = word_hashes(batch.raw, batch.starts, batch.ends)[0]
+    for i, text in enumerate(batch.texts):
+        own = slice(batch.cuts[i], batch.cuts[i + 1])
+        yield text, batch.starts[own] - batch.offsets[i], batch.ends[own] - batch.offsets[i], Parse(hashes[own], window, group)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -263,8 +230,9 @@ def removed_words(documents: DataFrame) -> DataFrame:
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with the repeated passages cut out of their texts; ``n_chars``, if there, follows."""
-    out = remove_passages(documents, layout=True).withColumnRenamed("kept", "text")
+    out = remove_passages(packed(documents, "doc_id"), layout=True)
+    changed = {"text": F.col("kept")}
     if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+        old = F.col("__row.n_chars")
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(documents.schema["n_chars"].dataType)).otherwise(old)
+    return unpacked(out, documents.columns, **changed)
