@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts reach Python in batches of about so many bytes (a longer text is a batch of its own).
@@ -66,6 +66,24 @@ def unpacked(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFr
     return df.select(*[changed[c].alias(c) if c in changed else F.col(f"__row.`{c}`").alias(c) for c in columns])
 
 
+def sent(spark: SparkSession, value) -> Callable:
+    """A function that gives ``value`` inside tasks, sent to each executor once with the code of its classes.
+
+    For models and vocabularies, whose size is fixed by parameters.
+    """
+    from pyspark import cloudpickle
+
+    packed_value = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    opened: list = []
+
+    def get():
+        if not opened:
+            opened.append(cloudpickle.loads(packed_value.value))
+        return opened[0]
+
+    return get
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, label: str, modulus: int, remainder: int,
                     rows: int, seed: str = "sample") -> DataFrame:
     """At most about ``rows`` labelled training rows ``(documents..., label)``, drawn by a hash of the key.

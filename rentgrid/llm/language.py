@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.llm.common import held_out, packed, per_document, unpacked
+from rentgrid.llm.common import held_out, packed, per_document, sent, unpacked
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -153,10 +153,10 @@ def identified(documents: DataFrame, carried: list[str], text: str = "text", lab
     network = ByteNetwork(len(languages))
     if len(x):
         network.fit(x, y)
-    sent = documents.sparkSession.sparkContext.broadcast((network, languages if len(x) else []))
+    model = sent(documents.sparkSession, (network, languages if len(x) else []))
 
     def columns(texts):
-        net, names = sent.value
+        net, names = model()
         cuts = [byte_windows(t) if names and has_letter(t) else (np.empty((0, LENGTH), np.uint8), np.empty(0, int)) for t in texts]
         counts = np.array([len(s) for _, s in cuts])
         best, score = ["und"] * len(texts), np.zeros(len(texts))

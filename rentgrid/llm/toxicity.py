@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.llm.common import held_out, labelled_sample, per_document
+from rentgrid.llm.common import held_out, labelled_sample, per_document, sent
 from rentgrid.llm.words import LETTERS, Batch, word_hashes
 
 #: The bound on labelled rows, and on texts at a time, that training holds.
@@ -134,10 +134,10 @@ def fitted(documents: DataFrame, labels: DataFrame, text: str = "text", label: s
 
 def scored(documents: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    machine = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels, text))
+    machine = sent(documents.sparkSession, fitted(documents, labels, text))
 
     def columns(texts):
-        return {"score": pa.array(machine.value.score(terms(texts)), pa.float64())}
+        return {"score": pa.array(machine().score(terms(texts)), pa.float64())}
 
     marked = per_document(documents, ["doc_id"], text, "score double", columns)
     return marked.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
