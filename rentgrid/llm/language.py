@@ -84,7 +84,9 @@ class ByteNetwork:
             out[i:i + at_once] = z / z.sum(axis=1, keepdims=True)
         return out
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, size: int = 64, rate: float = 0.005, seed: int = 5) -> None:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, size: int = 64, rate: float = 0.005, seed: int = 5,
+            least_steps: int = 900) -> None:
+        epochs = max(epochs, -(-least_steps * size // len(windows)))  # few windows are gone over more often
         draw = np.random.default_rng(seed)
         names = ("embed", "kernel", "shift", "dense", "base")
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
