@@ -12,7 +12,7 @@ from rentgrid.functions import constants as K
 from rentgrid.functions import scalars as S
 from rentgrid.operators.panel import share
 from rentgrid.operators.ranks import attach_ranks, medians, quantiles
-from rentgrid.operators.skew import attach_per_key, key_hash
+from rentgrid.operators.skew import attach_per_key
 
 
 def count_checks(df: DataFrame, checks: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -38,7 +38,7 @@ def audit_duplicates(df: DataFrame, checks: Mapping[str, Sequence[str]],
     out = []
     for name, keys in checks.items():
         rows = df.where(F.col(required[name]).isNotNull()) if required and name in required else df
-        sizes = rows.groupBy(key_hash(keys).alias("k")).agg(F.count(F.lit(1)).alias("s"))
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("s"))
         many = F.col("s") > 1
         out.append(sizes.agg(
             F.lit(name).alias("check"), F.count(F.lit(1)).alias("distinct_keys"),

@@ -213,12 +213,14 @@ def overprice(df: DataFrame, y: str, prediction: str, nights: str, stratum: str,
 # --- assembly -------------------------------------------------------------------------
 
 def cell_base(polygons: DataFrame, key: str, columns: Sequence[str], res: int = 9,
-              coarser: Sequence[int] = (8, 6)) -> DataFrame:
-    """Cells covering the polygons: parents, centre, land share and the area each belongs to."""
+              coarser: Sequence[int] = (8, 6), projection: str = "plane") -> DataFrame:
+    """Cells covering the polygons: parents, centre, size, land share and the area each belongs to."""
     covered = cut_lineage(cover(polygons, key, res))
     land = land_fraction(covered, polygons, key, res)
     x, y = H.cell_center("cell", res)
-    base = land.select("cell", "land", x.alias("x"), y.alias("y"),
+    lon, lat = H.PROJECTIONS[projection][1](x, y)
+    base = land.select("cell", "land", x.alias("x"), y.alias("y"), lat.alias("lat"), lon.alias("lon"),
+                       F.lit(H.CELL_AREAS[res] / 1e6).alias("area_km2"),
                        *[H.parent("cell", res, c).alias(f"cell_r{c}") for c in coarser])
     return nearest_polygon(base, polygons, "cell", columns)
 

@@ -43,10 +43,10 @@ def map_table(tables: Sequence[DataFrame], cell: str, metrics: Sequence[str], la
 
 def two_digits(x: Column) -> Column:
     """Rounded to two significant digits."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 1)
-    value = F.floor(x / power + 0.5) * power
-    # the product leaves noise in the last places
-    return F.when(x == 0, F.lit(0.0)).otherwise(value.cast("decimal(38,12)").cast("double"))
+    exponent = (F.floor(F.log10(F.abs(x))) - 1).cast("int")
+    digits = F.floor(x / F.pow(F.lit(10.0), exponent) + 0.5).cast("long")
+    # written as a number, so the product leaves no noise and any magnitude fits
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.concat(digits.cast("string"), F.lit("E"), exponent.cast("string")).cast("double"))
 
 
 def _increasing(values: Column) -> Column:

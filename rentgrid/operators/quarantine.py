@@ -64,7 +64,7 @@ def listing_rules(price: str = "price", lat: str = "latitude", lon: str = "longi
     rules = [
         Rule("B01", "id_duplicado", BASE, "id repetido", c("rep_id")),
         Rule("B02", "duplicata_perfeita", BASE, "linha idêntica exceto o id", c("rep_row")),
-        Rule("B03", "coordenada_fora", BASE, "coordenada nula ou fora do envelope", ~in_bbox(lat, lon)),
+        Rule("B03", "coordenada_fora_nyc", BASE, "coordenada nula ou fora do envelope", ~in_bbox(lat, lon)),
         Rule("B04", "distrito_invalido", BASE, "distrito fora da lista",
              ~F.coalesce(c(district).isin(*K.DISTRICTS), F.lit(False))),
         Rule("B05", "bairro_desconhecido", BASE, "bairro fora da lista", c("unknown_area")),
@@ -76,7 +76,7 @@ def listing_rules(price: str = "price", lat: str = "latitude", lon: str = "longi
         Rule("P02", "preco_zero", PRICE, "preço zero", c(price) == 0),
     ]
     if quote_nights:
-        rules.append(Rule("P03", "cotacao_longa", PRICE, "cotação longa",
+        rules.append(Rule("P03", "cotacao_acima_31_noites", PRICE, "cotação longa",
                           c(quote_nights) > K.QUOTE_MAX_NIGHTS, (second_snapshot,)))
     return rules + [
         Rule("P04", "preco_abaixo_piso", PRICE, "preço abaixo do piso",

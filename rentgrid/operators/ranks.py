@@ -17,47 +17,45 @@ from pyspark.sql import functions as F
 
 from rentgrid.operators.skew import attach_per_key
 
-#: Up to this many values a group is small enough for the built-in ``percentile``.
-SMALL_VALUES = 4_000_000
+#: Counted values that one task puts in order; the number of buckets follows from it.
+BUCKET_VALUES = 250_000
+#: Buckets of a table that would need fewer.
+LEAST_BUCKETS = 8
+#: Cuts that the first sketch gives; a table that needs more is sketched once again.
+FIRST_CUTS = 64
 
 Position = Callable[[Column], Column]
 
 
-def bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(4096, 2 * partitions))
+def _sketch(df: DataFrame, columns: Sequence[Column], n: int) -> list[tuple[int, list[float]]]:
+    probabilities = F.array(*[F.lit(i / n) for i in range(1, n)])
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (
+        F.count(c).alias(f"n{i}"), F.percentile_approx(c, probabilities, 20 * n).alias(f"s{i}"))]).first()
+    return [(row[f"n{i}"], list(row[f"s{i}"] or [])) for i in range(len(columns))]
 
 
-def profiles(df: DataFrame, values: Sequence[str | Column],
-             buckets: int | None = None) -> list[tuple[int, list[float]]]:
+def profiles(df: DataFrame, values: Sequence[str | Column]) -> list[tuple[int, list[float]]]:
     """Per column: the number of non-null values, and approximate quantiles that cut them evenly.
 
-    One pass with fixed-size sketches. The cuts only balance the work: results are
-    exact for any strictly increasing list.
+    One pass with fixed-size sketches gives counts and cuts of all columns. The cuts
+    only balance the work: results are exact for any strictly increasing list.
     """
-    n = buckets or bucket_count(df)
-    probabilities = F.array(*[F.lit(i / n) for i in range(1, n)])
     columns = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in values]
-    row = df.agg(*[e for i, c in enumerate(columns) for e in (
-        F.count(c).alias(f"n{i}"), F.percentile_approx(c, probabilities, 20 * n).alias(f"s{i}"))]).first()
-    return [(row[f"n{i}"], sorted({float(x) for x in (row[f"s{i}"] or [])
-                                   if x == x and abs(x) != float("inf")})) for i in range(len(columns))]
-
+    found = _sketch(df, columns, FIRST_CUTS)
+    buckets = max([LEAST_BUCKETS, *[-(-n // BUCKET_VALUES) for n, _ in found]])
+    if buckets > FIRST_CUTS:
+        found = _sketch(df, columns, buckets)
+    step = max(1, FIRST_CUTS // buckets)
+    return [(n, sorted({float(x) for x in cuts[step - 1::step] if x == x and abs(x) != float("inf")})) for n, cuts in found]
 
-def profile(df: DataFrame, value: str | Column, buckets: int | None = None) -> tuple[int, list[float]]:
-    return profiles(df, [value], buckets)[0]
 
-
-def splitters(df: DataFrame, value: str | Column, buckets: int | None = None) -> list[float]:
-    """Bucket edges, or none when the counted values fit one ordered pass per group."""
-    n, cuts = profile(df, value, buckets)
-    return cuts if n > SMALL_VALUES else []
+def splitters(df: DataFrame, value: str | Column) -> list[float]:
+    """Bucket edges that cut the values evenly; none if there is at most one value."""
+    return profiles(df, [value])[0][1]
 
 
 def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str = "__bucket") -> DataFrame:
-    if not splits:
-        return df.withColumn(name, F.lit(0))
-    edges = [-float("inf"), *splits, float("inf")]
+    edges = [-float("inf"), *(splits or [0.0]), float("inf")]
     cut = Bucketizer(splits=edges, inputCol="__bucket_value", outputCol="__bucket_raw", handleInvalid="keep")
     out = cut.transform(df.withColumn("__bucket_value", F.col(value).cast("double")))
     return out.withColumn(name, F.col("__bucket_raw").cast("int")).drop("__bucket_value", "__bucket_raw")
@@ -83,11 +81,6 @@ def running_totals(counts: DataFrame, by: Sequence[str], value: str, weights: Se
     """
     by = list(by)
     whole = Window.partitionBy(*by)
-    if not splits:
-        earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(
-            "*", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_before") for w in weights],
-            *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights])
     cut = with_bucket(counts, value, splits)
     totals = cut.groupBy(*by, "__bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
     earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,38 +123,33 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str, weights:
     ``by...``, ``<w>__n`` and ``<w>__<name>``. Only the buckets that hold a wanted
     position are ordered; all others stop at their totals.
     """
-    by = list(by)
+    by, names = list(by), list(positions)
+    cut = with_bucket(counts, value, splits)
     whole = Window.partitionBy(*by)
-    wanted = [(w, p, f"_t_{i}_{j}") for i, w in enumerate(weights) for j, p in enumerate(positions)]
-    targets = [positions[p](F.col(f"_n_{w}")).cast("long").alias(t) for w, p, t in wanted]
-    if not splits:
-        earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        local = counts.select(
-            "*", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_p_{w}") for w in weights],
-            *[F.sum(w).over(whole).alias(f"_n_{w}") for w in weights]).select("*", *targets)
-    else:
-        cut = with_bucket(counts, value, splits)
-        totals = cut.groupBy(*by, "__bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-        earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        spans = totals.select(
-            *by, "__bucket", *[f"_s_{w}" for w in weights],
-            *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
-            *[F.sum(f"_s_{w}").over(whole).alias(f"_n_{w}") for w in weights]).select("*", *targets)
-        holds = F.lit(False)
-        for w, _, t in wanted:
-            start = F.col(f"_o_{w}")
-            holds = holds | F.coalesce((F.col(t) >= start) & (F.col(t) < start + F.col(f"_s_{w}")),
-                                       F.lit(False))
-        chosen = spans.where(holds).drop(*[f"_s_{w}" for w in weights])
-        inside = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        local = cut.join(chosen, [*by, "__bucket"]).select(
-            "*", *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"_p_{w}")
-                   for w in weights])
-    picks = [F.max(F.when((F.col(t) >= F.col(f"_p_{w}")) &
-                          (F.col(t) < F.col(f"_p_{w}") + F.col(w)), F.col(value))).alias(f"{w}__{p}")
-             for w, p, t in wanted]
-    sizes = [F.max(f"_n_{w}").alias(f"{w}__n") for w in weights]
-    return local.groupBy(*by).agg(*sizes, *picks)
+    totals = cut.groupBy(*by, "__bucket").agg(F.array(*[F.sum(w) for w in weights]).alias("_s"))
+    earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.select(
+        *by, "__bucket", "_s",
+        F.array(*[F.coalesce(F.sum(F.col("_s")[i]).over(earlier), F.lit(0)) for i in range(len(weights))]).alias("_o"),
+        F.array(*[F.sum(F.col("_s")[i]).over(whole) for i in range(len(weights))]).alias("_n"))
+
+    def inside_of(t: Column, starts: Column, sizes: Column) -> Column:
+        return (t["_at"] >= F.get(starts, t["_w"])) & (t["_at"] < F.get(starts, t["_w"]) + F.get(sizes, t["_w"]))
+
+    wanted = F.array(*[F.struct(F.lit(i).alias("_w"), F.lit(j).alias("_q"), positions[p](F.col("_n")[i]).cast("long").alias("_at"))
+                       for i in range(len(weights)) for j, p in enumerate(names)])
+    chosen = (spans.withColumn("_t", F.filter(wanted, lambda t: inside_of(t, F.col("_o"), F.col("_s"))))
+              .where(F.size("_t") > 0).select(*by, "__bucket", "_o", "_n", "_t"))
+    inside = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.join(chosen, [*by, "__bucket"]).select(
+        *by, F.col(value).alias("_value"), "_n", "_t",
+        F.array(*[F.col("_o")[i] + F.coalesce(F.sum(w).over(inside), F.lit(0)) for i, w in enumerate(weights)]).alias("_before"),
+        F.array(*weights).alias("_here"))
+    hits = local.select(*by, "_value", "_n", F.inline(F.filter("_t", lambda t: inside_of(t, F.col("_before"), F.col("_here")))))
+    picks = [F.max(F.when((F.col("_w") == i) & (F.col("_q") == j), F.col("_value"))).alias(f"{w}__{p}")
+             for i, w in enumerate(weights) for j, p in enumerate(names)]
+    sizes = [F.max(F.col("_n")[i]).alias(f"{w}__n") for i, w in enumerate(weights)]
+    return hits.groupBy(*by).agg(*sizes, *picks)
 
 
 def _low(p: float) -> Position:
@@ -183,25 +171,15 @@ def quantile_name(p: float) -> str:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Column],
-              probabilities: Mapping[str, float] | Sequence[float],
-              small_values: int = SMALL_VALUES) -> DataFrame:
+              probabilities: Mapping[str, float] | Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles of several columns per group.
 
     Returns ``by...``, ``<metric>_n`` and ``<metric>_<name>``. NULLs are left out;
     a group whose metrics are all NULL has no row.
-
-    The values are counted first. Up to ``small_values`` of them, the built-in
-    ``percentile`` holds any group in memory and needs one shuffle. Beyond that the
-    values are spread over buckets, whatever the size of a group.
     """
     by = list(by)
     if not isinstance(probabilities, Mapping):
         probabilities = {quantile_name(p): p for p in probabilities}
-    filled = F.lit(0)
-    for c in metrics.values():
-        filled = filled + c.isNotNull().cast("long")
-    if (df.agg(F.sum(filled)).first()[0] or 0) <= small_values:
-        return _small_quantiles(df, by, metrics, probabilities)
     pairs = F.array(*[F.struct(F.lit(m).alias("_m"), c.cast("double").alias("_v"))
                       for m, c in metrics.items()])
     long = (df.select(*by, F.explode(pairs).alias("_x"))
@@ -224,26 +202,9 @@ def quantiles(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Column],
     return tall.groupBy(*by).agg(*wide)
 
 
-def _small_quantiles(df: DataFrame, by: list[str], metrics: Mapping[str, Column],
-                     probabilities: Mapping[str, float]) -> DataFrame:
-    levels = F.array(*[F.lit(float(p)) for p in probabilities.values()])
-    aggs = []
-    for m, c in metrics.items():
-        aggs += [F.count(c).alias(f"{m}_n"), F.percentile(c.cast("double"), levels).alias(f"_q_{m}")]
-    picks = []
-    for m in metrics:
-        picks.append(F.col(f"{m}_n"))
-        picks += [F.col(f"_q_{m}")[i].alias(f"{m}_{q}") for i, q in enumerate(probabilities)]
-    some = F.lit(False)
-    for m in metrics:
-        some = some | (F.col(f"{m}_n") > 0)
-    return df.groupBy(*by).agg(*aggs).where(some).select(*by, *picks)
-
-
-def medians(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Column],
-            small_values: int = SMALL_VALUES) -> DataFrame:
+def medians(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Column]) -> DataFrame:
     """Exact medians: ``by...`` and one column per metric."""
-    out = quantiles(df, by, metrics, {"med": 0.5}, small_values)
+    out = quantiles(df, by, metrics, {"med": 0.5})
     return out.select(*by, *[F.col(f"{m}_med").alias(m) for m in metrics])
 
 
@@ -302,10 +263,9 @@ def top_share(df: DataFrame, by: Sequence[str], owner: str, fraction: float) ->
 def attach_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "__rank") -> DataFrame:
     """Average rank of each column beside the rows; repeated values are split over tasks."""
     out = df
-    for c, (n, cuts) in zip(columns, profiles(df, columns)):
-        splits = cuts if n > SMALL_VALUES else []
+    for c, (_, splits) in zip(columns, profiles(df, columns)):
         ranked = average_ranks(df, [], F.col(c).cast("double"), splits, "_rv").select(
             F.col("_rv").alias(f"_k_{c}"), F.col("rank").alias(c + suffix), F.col("c").alias("_size"))
         keyed = out.withColumn(f"_k_{c}", F.col(c).cast("double"))
-        out = attach_per_key(keyed, ranked, [f"_k_{c}"], "_size", rows=n).drop(f"_k_{c}", "_size")
+        out = attach_per_key(keyed, ranked, [f"_k_{c}"], "_size").drop(f"_k_{c}", "_size")
     return out

@@ -124,6 +124,11 @@ def _levels(side: float, reach: float) -> list[float]:
     return [side * 2**i for i in range(n)]
 
 
+def finest_side(anchors: int, reach: float) -> float:
+    """Cells so small that evenly spread anchors are alone in them; every doubling of the level has four times as many."""
+    return max(reach / (2 * math.sqrt(max(anchors, 1))), 1e-6)
+
+
 def _level_cells(sides: Sequence[float]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("level"), H.cell_at("x", "y", s, i + 1).alias("cell"))
                      for i, s in enumerate(sides)])
@@ -165,6 +170,15 @@ def _search_cells(queries: DataFrame, anchors: DataFrame, by: Sequence[str], k:
     return pick.select(*by, "x", "y", F.col("c.level").alias("level"), F.explode(H.disk("c.cell", 3)).alias("cell"))
 
 
+def neighbour_pairs(queries: DataFrame, anchors: DataFrame, by: Sequence[str], k: int, sides: Sequence[float]) -> DataFrame:
+    """Every query place beside the anchors in the cells that hold its ``k`` nearest, with the distance."""
+    cells = _search_cells(queries, anchors, by, k, sides)
+    there = anchors.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), "_t",
+                           F.explode(_level_cells(sides)).alias("c")).select(
+        *by, "tx", "ty", "_t", F.col("c.level").alias("level"), F.col("c.cell").alias("cell"))
+    return skewed_join(cells, there, [*by, "level", "cell"]).withColumn("distance", H.distance("x", "y", "tx", "ty"))
+
+
 def nearest_k(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, k: int = 1,
               radius: float | None = None, by: Sequence[str] = (), side: float | None = None) -> DataFrame:
     """``(point, rank, target, distance)`` of the k nearest targets, exact, ties by target id.
@@ -178,17 +192,12 @@ def nearest_k(points: DataFrame, targets: DataFrame, point_id: str, target_id: s
     placed = targets.select(*by, "x", "y", F.col(target_id).alias("_t")).where("x IS NOT NULL AND y IS NOT NULL")
     asked = points.where("x IS NOT NULL AND y IS NOT NULL")
     reach = radius if radius is not None else _reach(asked, placed)
-    sides = _levels(side or max(reach / 64, 1e-6), reach)
+    sides = _levels(side or finest_side(placed.count(), reach), reach)
     # row_number <= k runs as a group limit before the shuffle
     same = Window.partitionBy(*by, "x", "y").orderBy("_t")
     anchors = placed.withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k).drop("_rn")
     queries = asked.select(*by, "x", "y").distinct()
-    cells = _search_cells(queries, anchors, by, k, sides)
-    there = anchors.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), "_t",
-                           F.explode(_level_cells(sides)).alias("c")).select(
-        *by, "tx", "ty", "_t", F.col("c.level").alias("level"), F.col("c.cell").alias("cell"))
-    pairs = skewed_join(cells, there, [*by, "level", "cell"]).withColumn(
-        "distance", H.distance("x", "y", "tx", "ty"))
+    pairs = neighbour_pairs(queries, anchors, by, k, sides)
     if radius is not None:
         pairs = pairs.where(F.col("distance") <= radius)
     order = Window.partitionBy(*by, "x", "y").orderBy("distance", "_t")
@@ -321,32 +330,47 @@ def reallocate(cells: DataFrame, covered: DataFrame, cell: str, side: float, max
 
 # --- cover and land fraction ------------------------------------------------------------
 
-def cover(polygons: DataFrame, key: str, res: int) -> DataFrame:
-    """``(key, cell, whole)``: every cell that touches a polygon; ``whole`` if no outline crosses it.
+def _edge_rows(polygons: DataFrame, key: str) -> DataFrame:
+    return polygons.select(key, F.explode(all_edges(F.col("rings"))).alias("e")).select(
+        key, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+
 
-    Cells with their centre inside come from scanning the rows of the grid between
-    the outline's crossings; cells on the outline come from clipping each edge
-    against the hexagons of its box.
+def _inside_cells(edges: DataFrame, key: str, res: int, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
+    """``(key, cell)``: the cells with the point ``(dx, dy)`` from their centre inside the polygon.
+
+    Scans the rows of the grid between the crossings of the outline.
     """
     side = H.side_of(res)
-    edges = polygons.select(key, F.explode(all_edges(F.col("rings"))).alias("e")).select(
-        key, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
     height, step = 1.5 * side, side * H.ROOT3
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    lined = _grid_rows(edges, low, high, height)
-    y = F.col("r") * height
+    lined = _grid_rows(edges, F.least("ay", "by") - dy, F.greatest("ay", "by") - dy, height)
+    y = F.col("r") * height + dy
     crossing = lined.where((F.col("ay") > y) != (F.col("by") > y)).select(
-        key, "r", (F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))).alias("cx"))
+        key, "r", (F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")) - dx).alias("cx"))
     # odd-numbered crossings open an interval, even-numbered ones close it
     order = Window.partitionBy(key, "r").orderBy("cx")
     spans = crossing.select(key, "r", "cx", F.lead("cx").over(order).alias("nx"),
                             F.row_number().over(order).alias("i")).where("i % 2 = 1 AND nx IS NOT NULL")
     first = F.ceil(F.col("cx") / step - F.col("r") / 2)
     last = F.floor(F.col("nx") / step - F.col("r") / 2)
-    inner = _fill(spans, key, res, first, last)
+    return _fill(spans, key, res, first, last)
+
+
+def _outline_cells(edges: DataFrame, key: str, res: int) -> DataFrame:
+    """``(key, cell, ax, ay, bx, by)``: every edge in the cells that it meets."""
     boxed = edges.select("*", F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"),
-                         low.alias("y0"), high.alias("y1"))
-    touched = explode_box_cells(boxed, side, res).where(_meets_hexagon("cell", side)).select(key, "cell")
+                         F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1"))
+    side = H.side_of(res)
+    return explode_box_cells(boxed, side, res).where(_meets_hexagon("cell", side)).select(key, "cell", "ax", "ay", "bx", "by")
+
+
+def cover(polygons: DataFrame, key: str, res: int) -> DataFrame:
+    """``(key, cell, whole)``: every cell that touches a polygon; ``whole`` if no outline crosses it.
+
+    Cells with their centre inside come from scanning the rows of the grid; cells on
+    the outline come from clipping each edge against the hexagons of its box.
+    """
+    edges = _edge_rows(polygons, key)
+    inner, touched = _inside_cells(edges, key, res), _outline_cells(edges, key, res).select(key, "cell")
     both = inner.withColumn("edge", F.lit(0)).unionByName(touched.withColumn("edge", F.lit(1)))
     return both.groupBy(key, "cell").agg((F.max("edge") == 0).alias("whole"))
 
@@ -377,61 +401,96 @@ def _meets_hexagon(cell: str, side: float) -> Column:
     return possible & (F.greatest(*enters) <= F.least(*leaves))
 
 
-def clipped_area(ring: list, corners: np.ndarray) -> float:
-    """Signed-free area of a ring inside a convex hexagon (clip by one half plane at a time)."""
-    poly = np.array([(p["x"], p["y"]) for p in ring], dtype=float)
-    for i in range(len(corners)):
-        if len(poly) == 0:
-            return 0.0
-        a, b = corners[i], corners[(i + 1) % len(corners)]
-        edge = b - a
-        d = edge[0] * (poly[:, 1] - a[1]) - edge[1] * (poly[:, 0] - a[0])
-        nxt, dn = np.roll(poly, -1, axis=0), np.roll(d, -1)
-        out = []
-        for p, q, dp, dq in zip(poly, nxt, d, dn):
-            if dp >= 0:
-                out.append(p)
-            if (dp >= 0) != (dq >= 0):
-                out.append(p + (q - p) * (dp / (dp - dq)))
-        poly = np.array(out)
-    if len(poly) < 3:
-        return 0.0
-    x, y = poly[:, 0], poly[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+#: Where in a cell the polygons are asked for their inside, in cell edges from the centre; off any round number.
+PROBE = (0.01234567, 0.00765432)
+
+
+def union_share(cx: float, cy: float, side: float, owner: np.ndarray, edges: np.ndarray, holds: np.ndarray) -> float:
+    """Share of a hexagon inside the union of polygons, from the edges that meet it.
+
+    ``owner`` numbers the polygon of each edge, ``holds`` says which polygons have the
+    probe point inside. Between neighbouring heights at which a corner lies or two
+    lines cross, every polygon's cut is a set of trapezoids, so the union's width at
+    the middle height times the height is its area there, exactly.
+    """
+    apothem = side * math.sqrt(3) / 2
+    px, py = cx + PROBE[0] * side, cy + PROBE[1] * side
+    turn = np.radians(60 * np.arange(6) - 30)
+    corners = np.stack([cx + side * np.cos(turn), cy + side * np.sin(turn)], axis=1)
+    lines = np.concatenate([edges, np.concatenate([corners, np.roll(corners, -1, axis=0)], axis=1)])
+    start, step = lines[:, :2], lines[:, 2:] - lines[:, :2]
+    cross = step[:, None, 0] * step[None, :, 1] - step[:, None, 1] * step[None, :, 0]
+    gap = start[None, :, :] - start[:, None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * step[None, :, 1] - gap[..., 1] * step[None, :, 0]) / cross
+        u = (gap[..., 0] * step[:, None, 1] - gap[..., 1] * step[:, None, 0]) / cross
+        meet = (start[:, None, 1] + t * step[:, None, 1])[(cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)]
+    heights = np.concatenate([meet, lines[:, 1], lines[:, 3]])
+    heights = np.unique(heights[(heights >= cy - side) & (heights <= cy + side)])
+    middle, thick = (heights[1:] + heights[:-1]) / 2, np.diff(heights)
+    half = np.minimum(apothem, apothem * (side - np.abs(middle - cy)) / (side / 2))
+    # a hair inside the sides, where an outline that runs along a side is not in doubt
+    left, right = cx - half * (1 - 1e-9), cx + half * (1 - 1e-9)
+    ax, ay, bx, by = edges.T
+    hit = (ay[None, :] > middle[:, None]) != (by[None, :] > middle[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = np.where(hit, ax + (middle[:, None] - ay) * (bx - ax) / (by - ay), np.inf)
+    # from the probe to the hexagon's left side at each height: every edge in between turns inside to outside
+    side_of = lambda x1, y1, x2, y2, x, y: (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    one = side_of(px, py, left[:, None], middle[:, None], ax, ay) > 0
+    two = side_of(px, py, left[:, None], middle[:, None], bx, by) > 0
+    three = side_of(ax, ay, bx, by, px, py)[None, :] > 0
+    four = side_of(ax, ay, bx, by, left[:, None], middle[:, None]) > 0
+    between = (one != two) & (three != four)
+    begins, ends = [], []
+    for k in range(len(holds)):
+        own = owner == k
+        inside = between[:, own].sum(axis=1) + int(holds[k])   # parity at the left side
+        within = (at[:, own] > left[:, None]) & (at[:, own] < right[:, None])
+        xs = np.sort(np.where(within, at[:, own], np.inf), axis=1)
+        first = np.concatenate([left[:, None], xs], axis=1)
+        last = np.minimum(np.concatenate([xs, right[:, None]], axis=1), right[:, None])
+        open_ = np.isfinite(first) & ((inside[:, None] + np.arange(first.shape[1])[None, :]) % 2 == 1)
+        begins.append(np.where(open_, first, np.inf))
+        ends.append(np.where(open_, last, -np.inf))
+    covered, reach = np.zeros(len(middle)), left.copy()
+    b, e = np.concatenate(begins, axis=1), np.concatenate(ends, axis=1)
+    order = np.argsort(b, axis=1)
+    b, e = np.take_along_axis(b, order, axis=1), np.take_along_axis(e, order, axis=1)
+    for j in range(b.shape[1]):                                # intervals by their beginning: add what is new
+        covered += np.maximum(0.0, e[:, j] - np.maximum(reach, np.where(np.isfinite(b[:, j]), b[:, j], np.inf)))
+        reach = np.maximum(reach, e[:, j])
+    return float((covered * thick).sum() / (1.5 * math.sqrt(3) * side * side))
 
 
 def land_fraction(covered: DataFrame, polygons: DataFrame, key: str, res: int) -> DataFrame:
-    """``(cell, land)``: share of each covered cell inside the polygons, between 0 and 1.
+    """``(cell, land)``: share of each covered cell inside the union of the polygons.
 
-    Whole cells are 1 by construction; only cells on an outline are clipped. Rings
-    after the first of a part are expected to be holes by their orientation, so
-    areas add with the sign of the ring.
+    A cell that lies whole in some polygon is 1. A cell on outlines brings only the
+    edges that meet it and, per polygon, whether the probe point near its centre is inside.
     """
     side = H.side_of(res)
-    area = H.CELL_AREAS[res]
+    edges = _edge_rows(polygons, key)
+    full = covered.groupBy("cell").agg(F.max("whole").alias("whole"))
+    holds = _inside_cells(edges, key, res, PROBE[0] * side, PROBE[1] * side).select(key, "cell", F.lit(True).alias("holds"))
+    local = (_outline_cells(edges, key, res).groupBy(key, "cell")
+             .agg(F.collect_list(F.array("ax", "ay", "bx", "by")).alias("edges")))
+    shapes = (local.join(holds, [key, "cell"], "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
+              .groupBy("cell").agg(F.collect_list(F.struct("edges", "holds")).alias("shapes")))
+    x, y = H.center_at("cell", side)
 
     @F.pandas_udf("double")
-    def inside(cx: pd.Series, cy: pd.Series, rings: pd.Series) -> pd.Series:
-        turn = np.radians(60 * np.arange(6) - 30)
-        shape = np.stack([np.cos(turn), np.sin(turn)], axis=1) * side
+    def share(cx: pd.Series, cy: pd.Series, shapes: pd.Series) -> pd.Series:
         out = []
-        for x, y, parts in zip(cx, cy, rings):
-            corners = shape + np.array([x, y])
-            total = 0.0
-            for ring in parts:
-                xs = np.array([p["x"] for p in ring])
-                ys = np.array([p["y"] for p in ring])
-                sign = np.sign(np.dot(xs, np.roll(ys, -1)) - np.dot(ys, np.roll(xs, -1)))
-                total += sign * clipped_area(ring, corners)
-            out.append(abs(total))
-        return pd.Series(out)
-
-    x, y = H.center_at("cell", side)
-    parts = covered.where(~F.col("whole")).join(polygons.select(key, "rings"), key).select(
-        "cell", (inside(x, y, F.col("rings")) / area).alias("part"))
-    full = covered.where("whole").select("cell", F.lit(1.0).alias("part"))
-    return full.unionByName(parts).groupBy("cell").agg(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum("part"))).alias("land"))
+        for x, y, parts in zip(cx, cy, shapes):
+            lists = [np.array([list(e) for e in p["edges"]], dtype=float) for p in parts]
+            owner = np.repeat(np.arange(len(lists)), [len(e) for e in lists])
+            out.append(union_share(x, y, side, owner, np.concatenate(lists), np.array([p["holds"] for p in parts])))
+        return pd.Series(out, dtype="float64")
+
+    cut = full.where(~F.col("whole")).join(shapes, "cell").select("cell", share(x, y, F.col("shapes")).alias("land"))
+    return full.where("whole").select("cell", F.lit(1.0).alias("land")).unionByName(
+        cut.select("cell", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("land"))).alias("land")))
 
 
 # --- graph of cells -----------------------------------------------------------------------

@@ -109,9 +109,6 @@ def fold_medians(df: DataFrame, keys: Sequence[str], y: str, fold: str, k: int,
     """``keys`` and an array with, for every fold, the median of the rows outside it."""
     if splits is None:
         splits = splitters(df, y)
-    if not splits:                      # counted: any group fits the built-in aggregate
-        per_fold = [F.percentile(F.when(F.col(fold) != j, F.col(y)), 0.5) for j in range(k)]
-        return df.groupBy(*keys).agg(F.array(*per_fold).alias(name))
     counts = value_counts(df, keys, y, outside(fold, k))
     positions = {"lo": lambda n: F.floor((n - 1) / 2), "hi": lambda n: F.ceil((n - 1) / 2)}
     stats = order_statistics(counts, keys, "_v", [f"w{j}" for j in range(k)], positions, splits)

@@ -21,7 +21,7 @@ def order_rules() -> list[Q.Rule]:
         Q.Rule("B01", "repetida", Q.BASE, "mesmo anfitrião e dia", c("rep")),
         Q.Rule("B04", "estrato_invalido", Q.BASE, "estrato fora da lista",
                ~F.coalesce(c("stratum").isin(*STRATA_DOMAIN), F.lit(False))),
-        Q.Rule("P03", "cotacao_longa", Q.PRICE, "cotação longa",
+        Q.Rule("P03", "cotacao_acima_31_noites", Q.PRICE, "cotação longa",
                (c("room_type") == "P") & (c("price") > LONG_QUOTE), ("B",)),
         Q.Rule("P04", "preco_abaixo_piso", Q.PRICE, "preço abaixo do piso", c("price") < FLOOR),
         Q.Rule("P05", "preco_acima_teto", Q.PRICE, "preço acima do teto", c("price") > CEILING),
@@ -71,7 +71,7 @@ REPORT = f"""{TAGGED}, rep1 AS (
   FROM hit GROUP BY snapshot),
 report AS (
   SELECT snapshot, entrada, i - 1 AS ordem, ['B01','B04','P03','P04','P05'][i] AS codigo,
-         ['repetida','estrato_invalido','cotacao_longa','preco_abaixo_piso','preco_acima_teto'][i] AS regra,
+         ['repetida','estrato_invalido','cotacao_acima_31_noites','preco_abaixo_piso','preco_acima_teto'][i] AS regra,
          CASE WHEN i <= 2 THEN 'base' ELSE 'preco' END AS escopo, ms[i] AS casam, hs[i] AS cascata
   FROM rep1, (SELECT unnest([1,2,3,4,5]) AS i) WHERE NOT (i = 3 AND snapshot = 'A'))"""
 

@@ -63,10 +63,9 @@ def average_ranks(spark, sf):
   {rd("quantile_cont(ln(1 + value), 0.5)")} AS log_p50, {rd("quantile_cont(ln(1 + value), 0.975)")} AS log_p97_5
 FROM events GROUP BY event_type""")
 def group_quantiles(spark, sf):
-    """The bucketed route, as it runs on tables too large for one in-memory group."""
     return rounded(ranks.quantiles(read(spark, sf, "events"), ["event_type"],
                                    {"value": F.col("value"), "log": F.log(1 + F.col("value"))},
-                                   [0.1, 0.5, 0.975], small_values=0))
+                                   [0.1, 0.5, 0.975]))
 
 
 def eta_sql(label: str, value: str, group: str, source: str) -> str:

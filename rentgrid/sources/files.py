@@ -24,12 +24,15 @@ def with_row_order(df: DataFrame) -> DataFrame:
 
 
 def read_listings_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
-                      columns: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """CSV (also ``.gz``) with a header, quoted JSON and line breaks inside fields.
+                      columns: Sequence[str] | None = None, partitions: int | None = None,
+                      line_breaks: bool = True) -> DataFrame:
+    """CSV (also ``.gz``) with a header, quoted JSON and, if ``line_breaks``, line breaks inside fields.
 
-    A gzip file is one split, so give ``partitions`` to spread its rows after the scan.
+    A file that may break lines inside fields, and a gzip file, is read by one task:
+    say ``line_breaks=False`` for plain files that have none, so that large ones are
+    split, and give ``partitions`` to spread the rows of the others after the scan.
     """
-    reader = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    reader = (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks)
               .option("quote", '"').option("escape", '"').option("enforceSchema", False))
     df = with_row_order(reader.csv(path))
     if columns is not None:
@@ -47,28 +50,32 @@ def valid_values(df: DataFrame, column: str) -> DataFrame:
 
 
 POINT = "array<double>"
-GEOJSON = ("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>")
-FEATURE = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+GEOMETRY = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
+GEOJSON = f"features array<struct<properties:map<string,string>,geometry:{GEOMETRY}>>"
+FEATURE = f"properties map<string,string>, geometry {GEOMETRY}"
 
 
 def read_polygons(spark: SparkSession, path: str, keys: Sequence[str], lines: bool = False) -> DataFrame:
     """``(ordinal, keys..., rings)`` with rings of ``(lon, lat)``; features of one key become one row.
 
     ``lines`` reads one feature per line, which splits; a single document does not.
-    Only polygons count; a ring needs four points. The ordinal follows the key.
+    Only polygons count, also those inside a geometry collection; a ring needs four
+    points. The ordinal follows the key.
     """
     if lines:
         features = spark.read.schema(FEATURE).json(path)
     else:
         features = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(
             F.explode("features").alias("f")).select("f.*")
-    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    own = F.array(F.struct(F.col("geometry.type").alias("type"), F.col("geometry.coordinates").alias("coordinates")))
+    single = features.select(*[F.col("properties")[k].alias(k) for k in keys],
+                             F.explode(F.concat(own, F.coalesce("geometry.geometries", F.slice(own, 1, 0)))).alias("g"))
+    kind, text = F.col("g.type"), F.col("g.coordinates")
     parts = (F.when(kind == "Polygon", F.array(F.from_json(text, f"array<array<{POINT}>>")))
              .when(kind == "MultiPolygon", F.from_json(text, f"array<array<array<{POINT}>>>")))
     rings = F.transform(F.flatten(parts), lambda r: F.transform(
         r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
-    picked = features.select(*[F.col("properties")[k].alias(k) for k in keys],
-                             F.filter(rings, lambda r: F.size(r) >= 4).alias("rings"))
+    picked = single.select(*keys, F.filter(rings, lambda r: F.size(r) >= 4).alias("rings"))
     merged = picked.where(F.size("rings") > 0).groupBy(*keys).agg(F.flatten(F.collect_list("rings")).alias("rings"))
     return merged.select(F.struct(*keys).alias("ordinal"), *keys, "rings")
 
@@ -91,7 +98,7 @@ def read_prefixed_block(spark: SparkSession, path: str, prefix: str, rename: Map
     cells = F.split("value", r"\|", -1)
     whole = text.select(cells.alias("c")).where(F.size("c") == len(header))
     named = {h: F.col("c")[i] for i, h in enumerate(header)}
-    return whole.select(F.substring(named[key], len(prefix) + 1, 1_000).alias("key"),
+    return whole.select(F.substr(named[key], F.lit(len(prefix) + 1)).alias("key"),
                         *[named[h].alias(n) for h, n in rename.items()])
 
 

@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_table(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``(path, size, sha256)`` of the files below a folder.
+def file_table(spark: SparkSession, folder: str, pattern: str = "*", largest: int = 1 << 30) -> DataFrame:
+    """``(path, size, sha256)`` of the files below a folder; the path is relative to it.
 
-    Files are read whole, so this is for source files of megabytes, not for data lakes.
+    Sizes come from the listing alone. Files up to ``largest`` bytes are read whole for
+    their hash (the limit reaches the scan, so larger ones are not read); a file above
+    it has no hash.
     """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size"),
-                        F.sha2("content", 256).alias("sha256"))
+    name = F.substr(F.col("path"), F.lit(len(root) + 2)).alias("path")
+    hashes = files.where(F.col("length") <= largest).select(name, F.sha2("content", 256).alias("sha256"))
+    return files.select(name, F.col("length").alias("size")).join(hashes, "path", "left")
 
 
 def check_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """State of every file: missing, without reference, ok, wrong size, wrong hash (size first)."""
+    """State of every file: missing, without reference, ok, wrong size, wrong hash (size first).
+
+    A file too large to be hashed is ``sem-hash`` when its size is right.
+    """
     f = files.select("path", F.col("size").alias("_s"), F.col("sha256").alias("_h"))
     m = manifest.select("path", "size", "sha256", F.lit(True).alias("_m"))
     state = (F.when(F.col("_s").isNull(), "ausente").when(F.col("_m").isNull(), "sem-referencia")
              .when(F.col("_s") != F.col("size"), "tamanho-errado")
+             .when(F.col("_h").isNull(), "sem-hash")
              .when(F.col("_h") != F.col("sha256"), "hash-errado").otherwise("ok"))
     return f.join(m, "path", "full_outer").select("path", state.alias("state"), F.col("_s").alias("size"),
                                                   F.col("_h").alias("sha256"))

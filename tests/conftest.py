@@ -14,10 +14,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-@pytest.fixture
-def large_path(monkeypatch):
-    """Make every table count as large, so the bucketed routes run."""
-    from rentgrid.operators import ranks
-    monkeypatch.setattr(ranks, "SMALL_VALUES", 0)

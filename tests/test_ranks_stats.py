@@ -20,15 +20,42 @@ def frame(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5)
 
 
-def test_quantiles_both_routes(frame):
+def test_quantiles(frame):
     pdf, df = frame
     want = pdf.groupby("g")["v"].quantile([0.1, 0.5, 0.9]).unstack()
-    for small in (0, 10**6):
-        got = R.quantiles(df, ["g"], {"v": F.col("v")}, [0.1, 0.5, 0.9], small_values=small).toPandas().set_index("g")
-        assert np.allclose(got.loc[want.index, ["v_p10", "v_p50", "v_p90"]].to_numpy(), want.to_numpy())
+    got = R.quantiles(df, ["g"], {"v": F.col("v")}, [0.1, 0.5, 0.9]).toPandas().set_index("g")
+    assert np.allclose(got.loc[want.index, ["v_p10", "v_p50", "v_p90"]].to_numpy(), want.to_numpy())
 
 
-def test_average_rank_large_route(frame, large_path):
+def test_a_hot_group_is_spread_over_buckets(frame):
+    """A group with a third of the rows is ordered in several tasks, and no window lacks a partition key."""
+    pdf, df = frame
+    splits = R.splitters(df, "v")
+    counts = R.value_counts(df, ["g"], "v")
+    used = R.with_bucket(counts.where("g = 'hot'"), "_v", splits).groupBy("__bucket").agg(F.sum("c").alias("n")).toPandas()
+    assert len(used) >= 4 and used["n"].max() < 0.6 * (pdf["g"] == "hot").sum()
+    table = R.running_totals(counts, ["g"], "_v", ["c"], splits)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("], [g#" in w for w in windows) and any("__bucket#" in w for w in windows)
+
+
+def test_more_values_mean_more_buckets(frame, monkeypatch):
+    pdf, df = frame
+    few = R.splitters(df, "w")
+    monkeypatch.setattr(R, "BUCKET_VALUES", 10)
+    many = R.splitters(df, "w")
+    assert len(few) < 10 < 200 < len(many)
+    got = R.medians(df, [], {"w": F.col("w")}).first()["w"]
+    assert got == pytest.approx(pdf["w"].median())
+
+
+def test_one_value_needs_no_cut(spark):
+    df = spark.createDataFrame([(1, 5.0)] * 7 + [(2, None)], "g int, v double")
+    assert {r["g"]: r["v"] for r in R.medians(df, ["g"], {"v": F.col("v")}).collect()} == {1: 5.0}
+
+
+def test_average_rank(frame):
     pdf, df = frame
     got = R.attach_ranks(df.select("id", "v"), ["v"]).toPandas().sort_values("id")
     assert np.allclose(got["v__rank"], pdf["v"].rank())
@@ -45,7 +72,7 @@ def test_hot_key_join_is_salted(frame):
     assert skew.skewed_join(df, right, ["g"], hot_rows=100, salts=4).count() == len(pdf)
 
 
-def test_spearman(frame, large_path):
+def test_spearman(frame):
     pdf, df = frame
     row = panel.spearman(df, F.col("v"), F.col("w")).first()
     assert row["spearman"] == pytest.approx(pdf["v"].rank().corr(pdf["w"].rank()), abs=1e-9)
@@ -106,7 +133,7 @@ def test_psi(spark):
     assert stats.psi_table(a, a, ["x"]).first()["psi"] == pytest.approx(0)
 
 
-def test_conformal_and_folds(spark, large_path):
+def test_conformal_and_folds(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"id": np.arange(2000), "block": rng.integers(0, 40, 2000), "res": rng.normal(size=2000)})
     df = V.block_folds(spark.createDataFrame(pdf), "block", 5)

@@ -63,10 +63,10 @@ def test_amenity_dictionary_route_agrees(spark):
 
 
 def test_occupancy(spark):
-    df = spark.createDataFrame([(0, 2.0, 2, 10), (1, 30.0, 2, 10), (2, 2.0, 2, 400), (3, None, 2, 10), (4, 2.0, None, 10)],
+    df = spark.createDataFrame([(0, 1.0, 2, 10), (1, 2.0, 2, 10), (2, 2.0, 2, 400), (3, None, 2, 10), (4, 2.0, None, 10)],
                                "i int, r double, m int, d int")
     got = [r[0] for r in df.orderBy("i").select(S.occupancy_model("r", "m", "d")).collect()]
-    assert got[0] == pytest.approx(2 / 0.5 * 12 * 6.4 / 365) and got[1:4] == [0.7, 0.0, 0.0] and got[4] is None
+    assert got[0] == pytest.approx(1 / 0.5 * 12 * 6.4 / 365) and got[1:4] == [0.7, 0.0, 0.0] and got[4] is None
 
 
 def test_property_groups(spark):

@@ -101,6 +101,48 @@ def test_cover_and_land(spark, areas):
     assert total == pytest.approx(1000**2 + 1000**2 - 200**2, rel=1e-6)
 
 
+def test_land_is_the_share_of_the_union(spark):
+    """Half a cell counts once, however often polygons cover it; against a fine grid of points elsewhere."""
+    side = H.side_of(9)
+    half = [(1, "left", [square(-2 * side, -2 * side, 2 * side)]), (2, "again", [square(-2 * side, -2 * side, 2 * side)])]
+    half += [(3, "up", [square(-2 * side, 0, 2 * side)]), (4, "up again", [square(-2 * side, -0.5 * side, 2 * side)])]
+    table = spark.createDataFrame(half, f"ordinal int, name string, rings {SP.RINGS}")
+    centre = spark.sql("SELECT 0D AS x, 0D AS y").select(H.cell("x", "y", 9).alias("cell"))
+    for names in (("left", "up"), ("left", "again", "up", "up again")):
+        some = table.where(F.col("name").isin(*names))
+        got = SP.land_fraction(SP.cover(some, "name", 9), some, "name", 9).join(centre, "cell").first()["land"]
+        assert got == pytest.approx(0.5, abs=1e-8)
+    rng = np.random.default_rng(4)
+    shapes = []
+    for i in range(9):
+        x, y = rng.uniform(-400, 400, 2)
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 7))
+        shapes.append((i, f"p{i}", [[(float(x + r * np.cos(t)), float(y + r * np.sin(t))) for t, r in zip(turn, rng.uniform(80, 500, 7))]]))
+        shapes[-1][2][0].append(shapes[-1][2][0][0])
+    table = spark.createDataFrame(shapes, f"ordinal int, name string, rings {SP.RINGS}")
+    land = {r["cell"]: r["land"] for r in SP.land_fraction(SP.cover(table, "name", 9), table, "name", 9).collect()}
+    probe = spark.range(160 * 160).select((F.col("id") % 160 * 14.0 - 1113.3).alias("x"), (F.floor(F.col("id") / 160) * 14.0 - 1111.7).alias("y"), "id")
+    hit = SP.point_in_polygon(probe, table, "id", ["name"]).select(H.cell("x", "y", 9).alias("cell"), (F.col("matches") > 0).cast("double").alias("m"))
+    shares = hit.groupBy("cell").agg(F.avg("m").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 480").collect()
+    assert len(shares) > 20
+    for r in shares:
+        assert land.get(r["cell"], 0.0) == pytest.approx(r["m"], abs=0.04)
+
+
+def test_pairs_per_query_stay_flat(spark):
+    """Sixteen times the points, evenly spread, compare no more pairs per query."""
+    per_query = []
+    for n in (1000, 16000):
+        step = 10_000 / n ** 0.5
+        rng = np.random.default_rng(n)
+        pts = spark.createDataFrame([(float(x * step + a), float(y * step + b), i) for i, (x, y, a, b) in enumerate(
+            (i % int(n ** 0.5), i // int(n ** 0.5), *rng.uniform(0, step, 2)) for i in range(n))], "x double, y double, _t int")
+        queries = pts.select("x", "y")
+        pairs = SP.neighbour_pairs(queries, pts, [], 1, SP._levels(SP.finest_side(n, 14_000.0), 14_000.0))
+        per_query.append(pairs.count() / n)
+    assert per_query[1] < 1.3 * per_query[0] < 60
+
+
 def disk(spark, k, value):
     base = spark.sql("select 0D x, 0D y").select(F.explode(H.disk(H.cell("x", "y", 8), k)).alias("cell"))
     x, y = H.cell_center("cell", 8)
