@@ -158,68 +158,75 @@ def odds_ratios(spark, sf):
 
 
 def product(spark, sf):
-    """The published model on the whole table, its rows with filled features, and its node table."""
+    """The published model on the whole table, its rows with filled features, and the names of these."""
     t = rows(spark, sf)
     features = ["quantity", "retail", *PLACE, *EXTERNAL]
     model, names = M.gbt_final(t, features, "y", 4, SMALL)
     filled, _ = M.fill_missing(t, features)
-    return t, filled, model, names, cut_lineage(SC.tree_table(model, names))
+    return t, filled, model, names
 
 
 @query("tree_table")
 def tree_table(spark, sf):
-    return product(spark, sf)[4].drop("categories")
+    _, _, model, names = product(spark, sf)
+    return SC.tree_table(model, names)
 
 
 @query("tree_scores")
 def tree_scores(spark, sf):
-    _, filled, _, names, trees = product(spark, sf)
-    scored = SC.score(filled.select("id", *names), trees, names, "exp")
-    return rounded(scored.select("id", "raw", "prediction"), 4)
+    _, filled, model, names = product(spark, sf)
+    return rounded(SC.score(filled.select("id", *names), model, names, "exp").select("id", "raw", "prediction"), 4)
 
 
 @query("score_parity")
 def score_parity(spark, sf):
-    _, filled, model, names, trees = product(spark, sf)
-    cases = SC.parity_cases(filled, names, "id", M.SENTINEL)
-    return rounded(SC.parity(model, trees, cases, names, "id"), 9)
+    _, filled, model, names = product(spark, sf)
+    return rounded(SC.parity(model, filled, names), 9)
 
 
 @query("attribution")
 def attribution(spark, sf):
-    _, filled, _, names, trees = product(spark, sf)
-    return rounded(SC.attribution(filled, trees, names, SOURCE), 4)
+    _, filled, model, names = product(spark, sf)
+    return rounded(SC.attribution(filled, "id", cut_lineage(SC.tree_table(model, names)), names, SC.model_depth(model), SOURCE), 4)
+
+
+@query("attribution_by_source")
+def attribution_by_source(spark, sf):
+    _, filled, model, names = product(spark, sf)
+    return rounded(SC.attribution_by_source(SC.attribution(
+        filled, "id", cut_lineage(SC.tree_table(model, names)), names, SC.model_depth(model), SOURCE)), 4)
 
 
 @query("dependence")
 def dependence(spark, sf):
-    _, filled, _, names, trees = product(spark, sf)
-    return rounded(SC.dependence(filled, trees, names, "quantity"), 4)
+    _, filled, model, names = product(spark, sf)
+    return rounded(SC.dependence(filled, "id", cut_lineage(SC.tree_table(model, names)), names, SC.model_depth(model), "quantity"), 4)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    t, _, model, _, _ = product(spark, sf)
+    t, _, model, _ = product(spark, sf)
     return rounded(M.permutation_importance(model, t, ["quantity", "retail", *PLACE, *EXTERNAL], "id", "y"), 4)
 
 
 @query("reference_premium")
 def reference_premium(spark, sf):
     """One typical line on the cell of every supplier."""
-    t, _, _, names, trees = product(spark, sf)
+    t, _, model, names = product(spark, sf)
     cells = cell_features(spark, sf).groupBy("cell").agg(*[F.avg(f).alias(f) for f in [*PLACE, *EXTERNAL]])
     home = t.agg(F.percentile("quantity", 0.5).alias("quantity"), F.percentile("retail", 0.5).alias("retail"))
     grid = SC.cross_cells(home, cells)
     filled, _ = M.fill_missing(grid, ["quantity", "retail", *PLACE, *EXTERNAL])
-    scored = SC.score(filled.select("cell", *names), trees, names, "exp")
+    scored = SC.score(filled.select("cell", *names), model, names, "exp")
     return rounded(SC.reference_premium(scored.select("cell", "prediction"), "cell", "prediction", t), 4)
 
 
 @query("whatif")
 def whatif(spark, sf):
-    """Every kind of line on every supplier cell: price with interval, premium over one cell."""
-    t, filled, _, names, trees = product(spark, sf)
-    res = SC.score(filled.select("id", "y", "room_type", *names), trees, names).select(
+    """Every kind of line on every supplier cell: price with interval, premium over one cell, nights, revenue, comparable lines."""
+    t, filled, model, names = product(spark, sf)
+    nights, night_names = M.gbt_final(t.withColumn("log_line", F.log("line")), [*PLACE, *EXTERNAL], "log_line", 3, SMALL)
+    res = SC.score(filled.select("id", "y", "room_type", *names), model, names).select(
         "room_type", (F.col("y") - F.col("raw")).alias("res"))
     pairs = cut_lineage(V.mondrian_quantiles(res, "res", "room_type", 0.8))
     cells = cell_features(spark, sf).groupBy("cell").agg(*[F.avg(f).alias(f) for f in [*PLACE, *EXTERNAL]])
@@ -227,5 +234,8 @@ def whatif(spark, sf):
     cells, _ = M.fill_missing(cells, [*PLACE, *EXTERNAL])
     homes, _ = M.fill_missing(homes, ["quantity", "retail"])
     first = cells.agg(F.min("cell")).first()[0]
-    out = SC.whatif(homes, cells, "cell", first, trees, names, pairs, "room_type", None)
-    return rounded(out.select("room_type", "cell", "price", "price_low", "price_high", "premium"), 4)
+    known = t.groupBy("cell").agg(F.count(F.lit(1)).alias("comparables"), F.exp(F.avg("y")).alias("mean_price"),
+                                  F.first("district", True).alias("district"))
+    out = SC.whatif(homes, cells, "cell", first, model, names, pairs, "room_type", None, nights, night_names, context=known)
+    return rounded(out.select("room_type", "cell", "price", "price_low", "price_high", "premium", "nights", "revenue",
+                              "comparables", "mean_price", "district"), 4)

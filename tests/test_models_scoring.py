@@ -25,7 +25,7 @@ def test_held_blocks_never_in_test_fold(table):
     assert joined.count() == 0 and held.count() >= 3
 
 
-def test_trees_learn_and_match_node_table(table):
+def test_trees_learn_and_score_alike(table):
     _, df = table
     params = M.TreeParams(max_trees=6, depth=3, step=0.5, min_rows=5)
     fit = M.gbt_oof(df, "id", ["a", "b", "k"], "y", "fold", "block", 3, params)
@@ -33,20 +33,14 @@ def test_trees_learn_and_match_node_table(table):
     metrics = V.price_metrics(df.select("id", "y").join(fit.predictions, "id"), "y", "oof").first()
     assert metrics["r2_log"] > 0.6
     model, names = M.gbt_final(df, ["a", "b", "k"], "y", fit.n_trees, params)
-    trees = SC.tree_table(model, names)
     filled, _ = M.fill_missing(df, ["a", "b", "k"])
-    row = SC.parity(model, trees, SC.parity_cases(filled, names, "id", M.SENTINEL), names, "id").first()
-    assert row["n"] == 3600 and row["max_error"] <= 1e-9
-    # the check can fail
-    bent = trees.withColumn("value", F.col("value") + 0.01)
-    assert SC.parity(model, bent, filled, names, "id").first()["max_error"] > 1e-9
-    parts = SC.score(filled.select("id", *names), trees, names, contributions=True).withColumn(
-        "sum", F.aggregate("contributions", F.col("base_value"), lambda x, v: x + v))
-    assert parts.agg(F.max(F.abs(F.col("sum") - F.col("raw")))).first()[0] < 1e-9
+    row = SC.parity(model, filled, names).first()
+    assert row["n"] == 600 and row["max_error"] == 0
+    same = M.apply_model(model, df, ["a", "b", "k"], ["id"]).join(SC.score(filled, model, names).select("id", "raw"), "id")
+    assert same.where(F.abs(F.col("prediction") - F.col("raw")) > 1e-12).count() == 0
     with pytest.raises(ValueError):
         SC.tree_table(model, names[:-1])
 
-
 def test_ridge_equals_direct_solution(table):
     pdf, df = table
     fit = M.hedonic_oof(df, "id", ["a"], ["k"], "y", "fold", 3, alphas=(1.0,))
@@ -81,27 +75,30 @@ def test_cluster_robust_logit(table):
     assert got["coef"].to_numpy() == pytest.approx(b) and got["se"].to_numpy() == pytest.approx(np.sqrt(np.diag(cov)))
 
 
-def nodes(spark, missing, default_left, categories=None):
-    rows = [(0, 0, 0, None if categories else 0.5, categories, 1, 2, default_left, missing, 0.0, 1.0),
-            (0, 1, None, None, None, None, None, False, "None", -1.0, 1.0), (0, 2, None, None, None, None, None, False, "None", 1.0, 1.0)]
-    return spark.createDataFrame(rows, SC.NODES)
-
-
-@pytest.mark.parametrize("missing,default,cats,expected", [
-    ("None", True, None, [-1.0, -1.0, 1.0, -1.0]),      # absent counts as zero
-    ("NaN", False, None, [1.0, -1.0, 1.0, -1.0]),       # absent goes to the default side
-    ("Zero", False, None, [1.0, 1.0, 1.0, 1.0]),        # zero, tiny and absent go to the default side
-    ("None", False, [1], [1.0, 1.0, -1.0, 1.0])])       # category set; absent goes right
-def test_missing_modes(spark, missing, default, cats, expected):
-    rows = spark.createDataFrame([(0, None), (1, 0.0), (2, 1.0), (3, 1e-40)], "i int, x double")
-    got = SC.score(rows, nodes(spark, missing, default, cats), ["x"]).orderBy("i")
-    assert [r["raw"] for r in got.collect()] == expected
+def test_contributions_add_up_to_the_prediction(spark):
+    """Over the joined node table: the roots' values and all contributions are the model's own prediction."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"id": np.arange(300), "a": rng.normal(size=300), "b": rng.normal(size=300)})
+    pdf["y"] = np.where(pdf.a > 0, 2.0, -1.0) + pdf.b.clip(-1, 1) + rng.normal(size=300) / 10
+    df = spark.createDataFrame(pdf)
+    model, names = M.gbt_final(df, ["a", "b"], "y", 3, M.TreeParams(depth=3, min_rows=5))
+    filled, _ = M.fill_missing(df, ["a", "b"])
+    trees = SC.tree_table(model, names)
+    base = sum(r["weight"] * r["value"] for r in trees.where("node = 0").collect())
+    parts = SC.contributions(filled, "id", trees, names, SC.model_depth(model)).groupBy("id").agg(F.sum("contribution").alias("c"))
+    both = SC.score(filled, model, names).join(parts, "id").select("raw", "c").toPandas()
+    assert len(both) == 300 and np.allclose(both["raw"], both["c"] + base)
+    table = SC.attribution(filled, "id", trees, names, SC.model_depth(model), {"b": "other"}).toPandas().set_index("feature")
+    assert table["share"].sum() == pytest.approx(1) and table.loc["a", "mean_abs"] > table.loc["b", "mean_abs"] and table.loc["b", "source"] == "other"
+    assert SC.parity(model, filled, names).first()["max_error"] == 0
 
 
 def test_infinite_input_fails(spark):
-    rows = spark.createDataFrame([(0, float("inf"))], "i int, x double")
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(60)], "id int, a double, y double")
+    model, names = M.gbt_final(df, ["a"], "y", 2, M.TreeParams(depth=2, min_rows=2))
+    bad = spark.createDataFrame([(1, float("inf"), 0.0)], "id int, a double, a_missing double")
     with pytest.raises(Exception, match="infinite"):
-        SC.score(rows, nodes(spark, "None", True), ["x"]).collect()
+        SC.score(bad, model, names).collect()
 
 
 def test_interval(spark):
