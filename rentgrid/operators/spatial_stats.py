@@ -138,23 +138,33 @@ def lisa(cells: DataFrame, cell: str, value: str, alpha: float = 0.05, permutati
     found = {r["at"]: r["z"] for r in placed.select("idx", "z").join(
         F.broadcast(places), F.col("idx") == F.col("at")).select("at", "z").collect()}
     values = np.vectorize(found.__getitem__)(draws)
-    shared = spark.sparkContext.broadcast((draws, values))
+    prefix = np.cumsum(values, axis=1)
+    sums = [np.sort(prefix[:, k] / (k + 1)) for k in range(width)]
+    hits: dict[int, list[tuple[int, int]]] = {}               # place -> the draws that hold it
+    for (draw, position), place in np.ndenumerate(draws):
+        hits.setdefault(int(place), []).append((draw, position))
+    shared = spark.sparkContext.broadcast((values, sums, hits))
 
     @F.pandas_udf("double")
     def p_value(idx: pd.Series, z: pd.Series, lag: pd.Series, k: pd.Series) -> pd.Series:
-        at, drawn = shared.value
-        out = np.empty(len(idx))
-        for j, (i, own, near, degree_) in enumerate(zip(idx, z, lag, k)):
-            mine = at == i
-            hit = mine.any(axis=1)
-            take = drawn[:, :degree_].sum(axis=1)
-            if hit.any():                       # replace the cell itself by the spare draw
-                for row in np.flatnonzero(hit):
-                    take[row] = drawn[row][~mine[row]][:degree_].sum()
-            larger = int((own * take / degree_ >= own * near).sum())
-            larger = min(larger, len(take) - larger)
-            out[j] = (larger + 1) / (len(take) + 1)
-        return pd.Series(out)
+        drawn, ordered, held = shared.value
+        at, own, near, degree = (c.to_numpy() for c in (idx, z, lag, k))
+        n_draws = len(drawn)
+        larger = np.full(len(at), n_draws)                     # a zero is never smaller than a zero
+        for d in np.unique(degree):
+            line = ordered[d - 1]
+            up, down = (degree == d) & (own > 0), (degree == d) & (own < 0)
+            larger[up] = n_draws - line.searchsorted(near[up], side="left")
+            larger[down] = line.searchsorted(near[down], side="right")
+        for j in [j for j, i in enumerate(at) if int(i) in held]:
+            d = degree[j]
+            for draw, position in held[int(at[j])]:
+                if position < d:                               # the cell itself gives way to the spare draw
+                    took = drawn[draw, :d].mean()
+                    instead = np.delete(drawn[draw], position)[:d].sum() / d
+                    larger[j] += int(own[j] * instead >= own[j] * near[j]) - int(own[j] * took >= own[j] * near[j])
+        larger = np.minimum(larger, n_draws - larger)
+        return pd.Series((larger + 1) / (n_draws + 1))
 
     tested = cut_lineage(placed.withColumn("p", F.least(F.lit(1.0), 2 * p_value("idx", "z", "lag", "k"))))
     judged = bh_reject(tested, "p", alpha, "significant")

@@ -51,12 +51,12 @@ def local_moran(spark, sf):
 
 @query("moran_test")
 def moran_test(spark, sf):
-    return rounded(ST.moran_test(values(spark, sf), "cell", "lp", permutations=99))
+    return rounded(ST.moran_test(values(spark, sf), "cell", "lp"))
 
 
 @query("lisa")
 def lisa(spark, sf):
-    return rounded(ST.lisa(values(spark, sf), "cell", "lp", permutations=199))
+    return rounded(ST.lisa(values(spark, sf), "cell", "lp"))
 
 
 @query("compare_cells", f"""WITH {PO}, g AS (SELECT cell, count(*) FILTER (WHERE snapshot = 'A') AS n_a, count(*) FILTER (WHERE snapshot = 'B') AS n_b,
