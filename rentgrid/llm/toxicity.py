@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from rentgrid.llm.common import held_out, labelled_sample, per_document, sent
 from rentgrid.llm.words import LETTERS, Batch, word_hashes
+from rentgrid.session import shared_table
 
-#: The bound on labelled rows, and on texts at a time, that training holds.
-TRAIN_ROWS = 12_000
+#: The bound on labelled rows that training draws.
+TRAIN_ROWS = 20_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 MIN_TEXTS = 4
+#: The bound on the terms that have parameters.
+MOST_TERMS = 1 << 14
 
 
 def terms(texts: list) -> list[np.ndarray]:
@@ -55,9 +58,9 @@ class FactorizationMachine:
         self.weights = np.zeros(len(known))
         self.factors = draw.normal(0, 0.05, (len(known), factors))
 
-    def rows(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of all texts, one after another, and the text of each."""
-        own = [n[n >= 0] for n in (self.number[t] for t in found)]
+    @staticmethod
+    def rows(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Parameter rows of all texts, one after another, and the text of each."""
         return np.concatenate([*own, np.empty(0, np.int32)]), np.repeat(np.arange(len(own)), [len(n) for n in own])
 
     def parts(self, term: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,11 +72,12 @@ class FactorizationMachine:
         return self.bias + linear + ((sums ** 2).sum(axis=1) - squares) / (2 * size), sums, size
 
     def score(self, found: list[np.ndarray]) -> np.ndarray:
-        term, text = self.rows(found)
+        term, text = self.rows([n[n >= 0] for n in (self.number[t] for t in found)])
         return 1 / (1 + np.exp(-np.clip(self.parts(term, text, len(found))[0], -60, 60)))
 
-    def fit(self, found: list[np.ndarray], y: np.ndarray, epochs: int = 40, size: int = 256, rate: float = 0.1,
+    def fit(self, own: list[np.ndarray], y: np.ndarray, epochs: int = 40, size: int = 256, rate: float = 0.1,
             ridge: float = 1e-4, seed: int = 11) -> None:
+        """Learn from the parameter rows (numbers of known terms) of each text and its label."""
         draw = np.random.default_rng(seed)
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.bias = float(np.log(share / (1 - share)))
@@ -81,9 +85,9 @@ class FactorizationMachine:
             return
         past = [1e-6, np.full_like(self.weights, 1e-6), np.full_like(self.factors, 1e-6)]
         for _ in range(epochs):
-            order = draw.permutation(len(found))
+            order = draw.permutation(len(own))
             for some in np.array_split(order, max(1, len(order) // size)):
-                term, text = self.rows([found[i] for i in some])
+                term, text = self.rows([own[i] for i in some])
                 total, sums, count = self.parts(term, text, len(some))
                 left = (1 / (1 + np.exp(-np.clip(total, -60, 60))) - y[some]) / len(some)
                 pull = left[text]
@@ -97,36 +101,58 @@ class FactorizationMachine:
                 self.factors -= rate * factors / np.sqrt(past[2])
 
 
-def telling_terms(found: list[np.ndarray], y: np.ndarray, least: int = MIN_TEXTS, z: float = 5.0, most: int = 1 << 14) -> np.ndarray:
-    """Terms of at least ``least`` texts whose share among the labels differs by over ``z`` standard errors."""
-    ones, zeros = float(y.sum()), float(len(y) - y.sum())
+def telling_terms(sample: DataFrame, least: int = MIN_TEXTS, z: float = 5.0, most: int = MOST_TERMS) -> np.ndarray:
+    """Terms of at least ``least`` texts whose share among the labels differs by over ``z`` standard errors.
+
+    ``sample`` has ``label`` and ``terms``. The counts are made in the tasks; the
+    ``most`` most telling terms come back.
+    """
+    def rows(batches):
+        for batch in batches:
+            lists = [np.frombuffer(t, "<u4").astype(np.int32) for t in batch.column("terms").to_pylist()]
+            label = np.repeat(batch.column("label").to_numpy(), [len(t) for t in lists])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(label.astype(np.int32))], names=["term", "label"])
+
+    size = sample.agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).first()
+    ones, zeros = float(size["ones"] or 0), float(size["n"] - (size["ones"] or 0))
     if not ones or not zeros:
         return np.empty(0, np.int64)
-    a, b = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t, label in zip(found, y):
-        (a if label else b)[t] += 1
-    share = (a + b) / len(y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.abs(a / ones - b / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-    score = np.where(a + b >= least, np.nan_to_num(score, posinf=0.0), 0.0)
-    chosen = np.flatnonzero(score > z)
-    return np.sort(chosen[np.argsort(-score[chosen], kind="stable")][:most])
+    counts = sample.select("label", "terms").mapInArrow(rows, "term int, label int").groupBy("term").agg(
+        F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("n") < ones + zeros))
+    share = F.col("n") / F.lit(ones + zeros)
+    error = F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / zeros))
+    score = F.abs(F.col("a") / F.lit(ones) - (F.col("n") - F.col("a")) / F.lit(zeros)) / error
+    chosen = counts.select("term", score.alias("z")).where(F.col("z") > z).orderBy(F.desc("z"), "term").limit(most)
+    return np.sort(np.array([r["term"] for r in chosen.collect()], np.int64))
 
 
 def fitted(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS,
            modulus: int = 4, remainder: int = 2) -> FactorizationMachine:
-    """The machine learned from a bounded sample of the labelled rows that are not held out."""
+    """The machine learned from a bounded sample of the labelled rows that are not held out.
+
+    Only the telling terms of the sampled texts reach the driver.
+    """
     drawn = labelled_sample(documents.select("doc_id", text), labels, "doc_id", label, modulus, remainder, rows, "toxic")
 
     def columns(texts):
         return {"terms": [t.astype("<u4").tobytes() for t in terms(texts)]}
 
-    sample = per_document(drawn, ["doc_id", "__label"], text, "terms binary", columns).orderBy("doc_id").toPandas()
-    found = [np.frombuffer(t, "<u4").astype(np.int64) for t in sample["terms"]]
-    y = sample["__label"].to_numpy(np.float64)
-    machine = FactorizationMachine(telling_terms(found, y) if len(y) else np.empty(0, np.int64))
-    if len(y):
-        machine.fit(found, y)
+    sample = shared_table(per_document(drawn, ["doc_id", "__label"], text, "terms binary", columns)
+                          .withColumnRenamed("__label", "label"), "toxic-sample")
+    machine = FactorizationMachine(telling_terms(sample))
+    number = sent(documents.sparkSession, machine.number)
+
+    def known(batches):
+        for batch in batches:
+            own = [number()[np.frombuffer(t, "<u4")] for t in batch.column("terms").to_pylist()]
+            packed = [n[n >= 0].astype("<i4").tobytes() for n in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())],
+                                             names=["doc_id", "label", "known"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    learned = sample.mapInArrow(known, f"doc_id {kind}, label int, known binary").orderBy("doc_id").toPandas()
+    if len(learned):
+        machine.fit([np.frombuffer(k, "<i4") for k in learned["known"]], learned["label"].to_numpy(np.float64))
     else:
         machine.bias = -60.0
     return machine

@@ -73,7 +73,7 @@ def test_factors_learn_pairs_that_weights_cannot():
         found.append(np.array(sorted({10 if a else 11, 20 if b else 21, 30 + int(draw.integers(5))})))
         y.append(float(a == b))
     machine = toxicity.FactorizationMachine(np.array([10, 11, 20, 21, *range(30, 35)]))
-    machine.fit(found, np.array(y), epochs=60)
+    machine.fit([machine.number[t] for t in found], np.array(y), epochs=60)
     assert ((machine.score(found) > 0.5) == (np.array(y) == 1)).mean() > 0.95
 
 
