@@ -30,8 +30,10 @@ from rentgrid.session import shared_table
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Documents of a pattern that are ordered in one task.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 HASH_RANGE = 1 << 32
+#: The plan of a mix has a row per pattern; up to so many it is broadcast, beyond it is joined by key.
+BROADCAST_PATTERNS = 10_000
 
 
 def word_count(text: str) -> Column:
@@ -156,8 +158,9 @@ def mixed(documents: DataFrame, members: Column, text: str = "text", weights: Se
               "__targets array<struct<source:string,words:long,target:double>>")
     plan = [(r["__pattern"], max(1, -(-r["rows"] // bucket_rows)), *(divmod(taken[r["__pattern"]], r["words"]) if r["words"] else (0, 0)),
              [(s, per_source[s], targets[s]) for s in json.loads(r["__pattern"])]) for r in rows]
+    sent = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda df: df)
     plans = spark.createDataFrame(plan, schema)
-    placed = sizes.join(plans.select("__pattern", "buckets", "rest"), "__pattern").withColumn(
+    placed = sizes.join(sent(plans.select("__pattern", "buckets", "rest")), "__pattern").withColumn(
         "bucket", (F.col("__place") * F.col("buckets") / F.lit(float(HASH_RANGE))).cast("long"))
     totals = placed.groupBy("__pattern", "rest", "bucket").agg(F.sum("__size").alias("words"))
     earlier = Window.partitionBy("__pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +180,7 @@ def mixed(documents: DataFrame, members: Column, text: str = "text", weights: Se
          for p, _, times, rest, t in plan],
         f"__pattern string, __times long, __rest long, __targets array<struct<source:string,words:long,target:double>>, "
         f"__cut long, __cut_id {kind}, __before long")
-    joined = marked.join(full, "__pattern", "left")
+    joined = marked.join(sent(full), "__pattern", "left")
     at_cut = (F.col("__place") == F.col("__cut")) & F.col("doc_id").eqNullSafe(F.col("__cut_id"))
     ahead = (F.col("__place") < F.col("__cut")) | ((F.col("__place") == F.col("__cut")) & (
         F.col("doc_id").isNull() | (F.col("doc_id") < F.col("__cut_id"))))
