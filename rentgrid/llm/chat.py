@@ -28,7 +28,7 @@ MARK = r"\[/?INST\]|</?s>|<</?SYS>>|\[ROLE=[^\]\s]*\]|\[/ROLE\]"
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\\*(?:{MARK})", r"\\$0")
+    return F.regexp_replace(text, rf"(?=[\\\[<])\\*(?:{MARK})", r"\\$0")
 
 
 def unescaped(text: Column) -> Column:
@@ -55,16 +55,24 @@ def rendered(role: Column, text: Column) -> Column:
 
 def pieces(formatted: Column) -> Column:
     """A formatted text cut before every mark that is not escaped."""
-    return F.split(formatted, rf"(?<!\\)(?={MARK})")
+    return F.split(formatted, rf"(?=[\[<])(?<!\\)(?={MARK})")
 
 
-def _turn(piece: Column) -> Column:
-    mark = F.regexp_extract(piece, rf"^(?:{MARK})", 0)
-    role = F.url_decode(F.regexp_extract(mark, r"^\[ROLE=([^\]\s]*)\]$", 1))
+def _mark(piece: Column) -> Column:
+    return F.substring_index(piece, " ", 1)                   # no mark has a space
+
+
+def _role(piece: Column) -> Column:
+    role = F.url_decode(F.regexp_extract(_mark(piece), r"^\[ROLE=([^\]\s]*)\]$", 1))
     for name, (begin, _) in MARKS.items():
-        role = F.when(mark == begin, F.lit(name)).otherwise(role)
-    text = piece.substr(F.length(mark) + 2, F.length(piece) - F.length(mark) - 2)
-    return F.struct(role.alias("role"), unescaped(text).alias("text"))
+        role = F.when(_mark(piece) == begin, F.lit(name)).otherwise(role)
+    return role
+
+
+def _turn(piece: Column) -> Column:
+    size = F.length(_mark(piece))
+    text = piece.substr(size + 2, F.length(piece) - size - 2)
+    return F.struct(_role(piece).alias("role"), unescaped(text).alias("text"))
 
 
 def parsed(cut: Column) -> Column:
@@ -74,7 +82,7 @@ def parsed(cut: Column) -> Column:
     turns = F.transform(opens, _turn)
     valid = (F.size(opens) == F.size(closes)) & F.forall(
         opens, lambda p: p.rlike(rf"^(?:{MARK}) ") & p.endswith(" ") & ~p.rlike(r"^(?:\[/|</|<</)")) & (
-        F.transform(turns, lambda t: closing(t["role"])) == closes)
+        F.transform(opens, lambda p: closing(_role(p))) == closes)
     return F.when(valid, turns)
 
 
@@ -85,10 +93,10 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     source = F.array(F.struct(F.col("role"), F.col("text")))
     plain = rows.withColumn("rendered", rendered(F.col("role"), F.col("text")))
     read = F.coalesce(parsed(pieces(F.col("rendered"))) == source, F.lit(False))
-    tried = plain.withColumn("rendered", F.when(read, F.col("rendered")).otherwise(rendered(F.col("role"), escaped(F.col("text")))))
-    sure = F.coalesce(parsed(pieces(F.col("rendered"))) == source, F.lit(False))
-    return tried.withColumn("rendered", F.when(sure, F.col("rendered")).otherwise(F.raise_error(
-        F.concat(F.lit("a turn does not read back: "), F.col("text")))))
+    strict = rendered(F.col("role"), escaped(F.col("text")))
+    return plain.withColumn("__read", read).withColumn("rendered", F.when(F.col("__read"), F.col("rendered")).when(
+        F.coalesce(parsed(pieces(strict)) == source, F.lit(False)), strict).otherwise(F.raise_error(
+            F.concat(F.lit("a turn does not read back: "), F.col("text"))))).drop("__read")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
