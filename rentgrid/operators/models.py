@@ -41,7 +41,8 @@ class TreeParams:
     min_rows: int = 30
     row_share: float = 0.8
     feature_share: float = 0.8
-    tolerance: float = 0.01
+    #: Boosting stops at a tree that lowers the held-out error by less than this share.
+    tolerance: float = 1e-4
     seed: int = V.SEED
 
 

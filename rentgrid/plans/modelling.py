@@ -56,7 +56,13 @@ def rows(spark, sf):
         F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("line"),
         S.ordinal("l_returnflag", ["A", "N", "R"]).alias("flag_code"), S.ordinal("l_linestatus", ["F", "O"]).alias("status_code"),
         F.nullif(F.col("p_size"), F.lit(7)).alias("size"), F.col("p_retailprice").alias("retail"),
-        F.col("l_discount").alias("discount"), *PLACE, *EXTERNAL), "block", 3))
+        F.col("l_discount").alias("discount"), *PLACE, *EXTERNAL), "block"))
+
+
+def final_model(t, features, y, params=SMALL):
+    """The model on all rows, with as many trees as the folds chose (their median)."""
+    trees = M.gbt_oof(t, "id", features, y, "fold", "block", params=params).n_trees
+    return M.gbt_final(t, features, y, trees, params)
 
 
 STEPS = {
@@ -74,13 +80,13 @@ STEPS = {
 @query("hedonic_ridge")
 def hedonic_ridge(spark, sf):
     t = rows(spark, sf)
-    fit = M.hedonic_oof(t, "id", ["quantity", "line", "size", "retail", "px", "py"], ["flag_code", "district_code"], "y", "fold", 3)
+    fit = M.hedonic_oof(t, "id", ["quantity", "line", "size", "retail", "px", "py"], ["flag_code", "district_code"], "y", "fold")
     return rounded(V.price_metrics(t.select("id", "y").join(fit.predictions, "id"), "y", "oof"), 4)
 
 
 @query("model_ladder")
 def model_ladder(spark, sf):
-    oof, _ = M.ladder(rows(spark, sf), STEPS, "id", "y", "fold", "block", 3)
+    oof, _ = M.ladder(rows(spark, sf), STEPS, "id", "y", "fold", "block")
     return rounded(M.ladder_metrics(oof, "y"), 4)
 
 
@@ -88,31 +94,31 @@ def model_ladder(spark, sf):
 def model_criteria(spark, sf):
     t = rows(spark, sf)
     steps = {n: STEPS[n] for n in ("B1", "M3", "M4", "M5")}
-    oof, _ = M.ladder(t, steps, "id", "y", "fold", "block", 3)
+    oof, _ = M.ladder(t, steps, "id", "y", "fold", "block")
     res = oof.join(t.select("id", "room_type"), "id").withColumn("res", F.col("y") - F.col("oof_M5"))
-    cover = V.mondrian_coverage(res, "res", "fold", "room_type", 0.8, 3)
+    cover = V.mondrian_coverage(res, "res", "fold", "room_type", 0.8)
     return rounded(M.criteria(M.ladder_metrics(oof, "y"), cover, M.ladder_metrics(oof, "y", ["fold"]), "B1", "M3", "M4", "M5"), 4)
 
 
 @query("ablation")
 def ablation(spark, sf):
-    return rounded(M.ablation(rows(spark, sf), LISTING + PLACE + EXTERNAL, GROUPS, "id", "y", "fold", "block", 3, SMALL), 4)
+    return rounded(M.ablation(rows(spark, sf), LISTING + PLACE + EXTERNAL, GROUPS, "id", "y", "fold", "block", params=SMALL), 4)
 
 
 @query("random_fold_optimism")
 def random_fold_optimism(spark, sf):
-    return rounded(M.optimism(rows(spark, sf), LISTING + PLACE, "id", "y", "fold", "block", 3, SMALL), 4)
+    return rounded(M.optimism(rows(spark, sf), LISTING + PLACE, "id", "y", "fold", "block", params=SMALL), 4)
 
 
 @query("validation_blocks")
 def validation_blocks(spark, sf):
-    return M.validation_blocks(rows(spark, sf), "block", "fold", 3)
+    return M.validation_blocks(rows(spark, sf), "block", "fold", V.FOLDS)
 
 
 @query("temporal_transfer")
 def temporal_transfer(spark, sf):
     t = rows(spark, sf)
-    table, _ = M.transfer(t.where("snapshot = 'A'"), t.where("snapshot = 'B'"), LISTING + PLACE, "id", "y", "fold", "block", 3, SMALL)
+    table, _ = M.transfer(t.where("snapshot = 'A'"), t.where("snapshot = 'B'"), LISTING + PLACE, "id", "y", "fold", "block", params=SMALL)
     return rounded(table, 4)
 
 
@@ -120,7 +126,7 @@ def temporal_transfer(spark, sf):
 def adjusted_appreciation(spark, sf):
     t = rows(spark, sf)
     a, b = t.where("snapshot = 'A'"), t.where("snapshot = 'B'")
-    model, _ = M.gbt_final(a, LISTING, "y", 3, SMALL)
+    model, _ = final_model(a, LISTING, "y")
     scored = M.apply_model(model, b.withColumn("long", F.col("long_stay").cast("double")), LISTING, ["id", "y", "cell", "long"])
     res = scored.select("cell", (F.col("y") - F.col("prediction")).alias("res"), (F.col("long") == 1).alias("long"))
     return rounded(M.appreciation(res, "cell", "res", "long"), 4)
@@ -129,7 +135,7 @@ def adjusted_appreciation(spark, sf):
 @query("transfer_by_stratum")
 def transfer_by_stratum(spark, sf):
     t = rows(spark, sf)
-    model, _ = M.gbt_final(t.where("snapshot = 'A'"), LISTING, "y", 3, SMALL)
+    model, _ = final_model(t.where("snapshot = 'A'"), LISTING, "y")
     scored = M.apply_model(model, t.where("snapshot = 'B'"), LISTING, ["id", "y"]).join(t.select("id", "room_type", "long_stay"), "id")
     return rounded(M.transfer_by(scored, "y", "prediction", ["long_stay", "room_type"]), 4)
 
@@ -137,14 +143,14 @@ def transfer_by_stratum(spark, sf):
 @query("activity_classifier")
 def activity_classifier(spark, sf):
     t = rows(spark, sf).withColumn("active", (F.col("discount") > 0.02).cast("double"))
-    fit = M.gbt_oof(t, "id", LISTING, "active", "fold", "block", 3, SMALL, classifier=True)
+    fit = M.gbt_oof(t, "id", LISTING, "active", "fold", "block", params=SMALL, classifier=True)
     return rounded(V.class_metrics(t.select("id", "active").join(fit.predictions, "id"), "active", "oof"), 4)
 
 
 @query("survival_by_cell")
 def survival_by_cell(spark, sf):
     t = rows(spark, sf).withColumn("survived", (F.col("snapshot") == "B").cast("double"))
-    fit = M.gbt_oof(t, "id", LISTING + PLACE, "survived", "fold", "block", 3, SMALL, classifier=True)
+    fit = M.gbt_oof(t, "id", LISTING + PLACE, "survived", "fold", "block", params=SMALL, classifier=True)
     return rounded(M.survival_cells(t.select("id", "cell", "survived").join(fit.predictions, "id"), "cell", "survived", "oof"), 4)
 
 
@@ -161,7 +167,7 @@ def product(spark, sf):
     """The published model on the whole table, its rows with filled features, and the names of these."""
     t = rows(spark, sf)
     features = ["quantity", "retail", *PLACE, *EXTERNAL]
-    model, names = M.gbt_final(t, features, "y", 4, SMALL)
+    model, names = final_model(t, features, "y")
     filled, _ = M.fill_missing(t, features)
     return t, filled, model, names
 
@@ -225,7 +231,7 @@ def reference_premium(spark, sf):
 def whatif(spark, sf):
     """Every kind of line on every supplier cell: price with interval, premium over one cell, nights, revenue, comparable lines."""
     t, filled, model, names = product(spark, sf)
-    nights, night_names = M.gbt_final(t.withColumn("log_line", F.log("line")), [*PLACE, *EXTERNAL], "log_line", 3, SMALL)
+    nights, night_names = final_model(t.withColumn("log_line", F.log("line")), [*PLACE, *EXTERNAL], "log_line")
     res = SC.score(filled.select("id", "y", "room_type", *names), model, names).select(
         "room_type", (F.col("y") - F.col("raw")).alias("res"))
     pairs = cut_lineage(V.mondrian_quantiles(res, "res", "room_type", 0.8))
