@@ -340,7 +340,8 @@ def top_n(df: DataFrame, by: str, n: int, tie: str, largest: bool = True) -> Dat
 
 def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in a seeded hash order: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(id_column), F.lit(seed)), id_column).limit(n)
+    order = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return df.orderBy(order, id_column).limit(n)
 
 
 def feature_group(df: DataFrame, feature: str, groups: Mapping[str, str], default: str = "listing",

@@ -38,7 +38,8 @@ def block_folds(df: DataFrame, block: str, k: int = FOLDS, seed: int = SEED,
 
 
 def random_folds(df: DataFrame, id_column: str, k: int = FOLDS, seed: int = SEED, name: str = "fold") -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(k)).cast("int"))
+    digest = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return df.withColumn(name, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))
 
 
 def shared_blocks(df: DataFrame, block: str, fold: str = "fold") -> DataFrame:

@@ -125,7 +125,7 @@ def summary(spark, sf):
     return rounded(P.summary({"kpis": (k, ["snapshot"])}), 4)
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 100")
 def hash_sample(spark, sf):
     return panel.hash_sample(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
 

@@ -11,17 +11,21 @@ from rentgrid.session import cut_lineage
 from rentgrid.plans.tables import LST, ORD, listings, orders, rd
 
 
-@query("kruskal", f"""WITH r AS (SELECT l_returnflag AS g, l_extendedprice AS v, {rank_sql('l_extendedprice')} AS rk FROM lineitem),
+KRUSKAL = f"""WITH r AS (SELECT l_returnflag AS g, l_extendedprice AS v, {rank_sql('l_extendedprice')} AS rk FROM lineitem),
 s AS (SELECT count(*) AS n, sum(rk) AS rs FROM r GROUP BY g),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY v)),
 h AS (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS k, sum(rs * rs / n) AS s FROM s)
 SELECT {rd("(12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n))")} AS H, CAST(n AS BIGINT) AS n, k,
-  {rd("(12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) * (n + 1) / (n * n - 1)")} AS epsilon2 FROM h, t""")
+  {rd("(12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) * (n + 1) / (n * n - 1)")} AS epsilon2{{p}} FROM h, t"""
+
+
+@query("kruskal", KRUSKAL.format(p=""))
 def kruskal(spark, sf):
     return rounded(stats.kruskal(read(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", p_value=False))
 
 
-@query("kruskal_p")
+# with two degrees of freedom the chi-squared tail is exp(-H / 2)
+@query("kruskal_p", KRUSKAL.format(p=f""", {rd("exp(-(12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) / 2)")} AS p"""))
 def kruskal_p(spark, sf):
     return rounded(stats.kruskal(read(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"))
 
@@ -160,7 +164,7 @@ def shared_blocks(spark, sf):
     return V.shared_blocks(V.block_folds(listings(spark, sf), "area_id"), "area_id")
 
 
-@query("random_folds")
+@query("random_folds", "SELECT (('0x' || md5(o_orderkey || ':42')[1:8])::BIGINT % 5)::INTEGER AS fold, count(*) AS n FROM orders GROUP BY 1")
 def random_folds(spark, sf):
     return V.random_folds(orders(spark, sf), "id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
