@@ -18,8 +18,7 @@ PLACE = ["px", "py", "district_code"]
 GROUPS = {"transit": ["stations_near"], "rent": ["mean_balance"], "demand": ["hosts_near"]}
 EXTERNAL = [f for fs in GROUPS.values() for f in fs]
 SOURCE = {**{f: "coordinates" for f in PLACE}, **{f: g for g, fs in GROUPS.items() for f in fs}}
-FAST = M.TreeParams(max_trees=5, depth=3, step=0.4, min_rows=20)
-SMALL = M.TreeParams(max_trees=4, depth=2, step=0.4, min_rows=20)
+FULL = M.TreeParams()
 
 
 def cell_features(spark, sf):
@@ -59,7 +58,7 @@ def rows(spark, sf):
         F.col("l_discount").alias("discount"), *PLACE, *EXTERNAL), "block"))
 
 
-def final_model(t, features, y, params=SMALL):
+def final_model(t, features, y, params=M.PRODUCT):
     """The model on all rows, with as many trees as the folds chose (their median)."""
     trees = M.gbt_oof(t, "id", features, y, "fold", "block", params=params).n_trees
     return M.gbt_final(t, features, y, trees, params)
@@ -69,11 +68,11 @@ STEPS = {
     "B0": M.Step("median"),
     "B1": M.Step("median", keys=(("neighbourhood", "room_type"), ("room_type",))),
     "M1": M.Step("ridge", tuple(LISTING[:2] + LISTING[4:] + PLACE[:2]), ("flag_code", "status_code", "district_code")),
-    "M2": M.Step("trees", tuple(LISTING), params=FAST),
-    "M3": M.Step("trees", tuple(LISTING + PLACE), params=FAST),
-    "M4": M.Step("trees", tuple(LISTING + PLACE + EXTERNAL), params=FAST),
-    "M4_no_coordinates": M.Step("trees", tuple(LISTING + ["district_code"] + EXTERNAL), params=FAST),
-    "M5": M.Step("trees", tuple(["quantity", "retail"] + PLACE + EXTERNAL), params=SMALL),
+    "M2": M.Step("trees", tuple(LISTING), params=FULL),
+    "M3": M.Step("trees", tuple(LISTING + PLACE), params=FULL),
+    "M4": M.Step("trees", tuple(LISTING + PLACE + EXTERNAL), params=FULL),
+    "M4_no_coordinates": M.Step("trees", tuple(LISTING + ["district_code"] + EXTERNAL), params=FULL),
+    "M5": M.Step("trees", tuple(["quantity", "retail"] + PLACE + EXTERNAL), params=M.PRODUCT),
 }
 
 
@@ -102,12 +101,12 @@ def model_criteria(spark, sf):
 
 @query("ablation")
 def ablation(spark, sf):
-    return rounded(M.ablation(rows(spark, sf), LISTING + PLACE + EXTERNAL, GROUPS, "id", "y", "fold", "block", params=SMALL), 4)
+    return rounded(M.ablation(rows(spark, sf), LISTING + PLACE + EXTERNAL, GROUPS, "id", "y", "fold", "block", params=FULL), 4)
 
 
 @query("random_fold_optimism")
 def random_fold_optimism(spark, sf):
-    return rounded(M.optimism(rows(spark, sf), LISTING + PLACE, "id", "y", "fold", "block", params=SMALL), 4)
+    return rounded(M.optimism(rows(spark, sf), LISTING + PLACE, "id", "y", "fold", "block", params=FULL), 4)
 
 
 @query("validation_blocks")
@@ -118,7 +117,7 @@ def validation_blocks(spark, sf):
 @query("temporal_transfer")
 def temporal_transfer(spark, sf):
     t = rows(spark, sf)
-    table, _ = M.transfer(t.where("snapshot = 'A'"), t.where("snapshot = 'B'"), LISTING + PLACE, "id", "y", "fold", "block", params=SMALL)
+    table, _ = M.transfer(t.where("snapshot = 'A'"), t.where("snapshot = 'B'"), LISTING + PLACE, "id", "y", "fold", "block", params=FULL)
     return rounded(table, 4)
 
 
@@ -126,7 +125,7 @@ def temporal_transfer(spark, sf):
 def adjusted_appreciation(spark, sf):
     t = rows(spark, sf)
     a, b = t.where("snapshot = 'A'"), t.where("snapshot = 'B'")
-    model, _ = final_model(a, LISTING, "y")
+    model, _ = final_model(a, LISTING, "y", FULL)
     scored = M.apply_model(model, b.withColumn("long", F.col("long_stay").cast("double")), LISTING, ["id", "y", "cell", "long"])
     res = scored.select("cell", (F.col("y") - F.col("prediction")).alias("res"), (F.col("long") == 1).alias("long"))
     return rounded(M.appreciation(res, "cell", "res", "long"), 4)
@@ -135,7 +134,7 @@ def adjusted_appreciation(spark, sf):
 @query("transfer_by_stratum")
 def transfer_by_stratum(spark, sf):
     t = rows(spark, sf)
-    model, _ = final_model(t.where("snapshot = 'A'"), LISTING, "y")
+    model, _ = final_model(t.where("snapshot = 'A'"), LISTING, "y", FULL)
     scored = M.apply_model(model, t.where("snapshot = 'B'"), LISTING, ["id", "y"]).join(t.select("id", "room_type", "long_stay"), "id")
     return rounded(M.transfer_by(scored, "y", "prediction", ["long_stay", "room_type"]), 4)
 
@@ -143,14 +142,14 @@ def transfer_by_stratum(spark, sf):
 @query("activity_classifier")
 def activity_classifier(spark, sf):
     t = rows(spark, sf).withColumn("active", (F.col("discount") > 0.02).cast("double"))
-    fit = M.gbt_oof(t, "id", LISTING, "active", "fold", "block", params=SMALL, classifier=True)
+    fit = M.gbt_oof(t, "id", LISTING, "active", "fold", "block", params=FULL, classifier=True)
     return rounded(V.class_metrics(t.select("id", "active").join(fit.predictions, "id"), "active", "oof"), 4)
 
 
 @query("survival_by_cell")
 def survival_by_cell(spark, sf):
     t = rows(spark, sf).withColumn("survived", (F.col("snapshot") == "B").cast("double"))
-    fit = M.gbt_oof(t, "id", LISTING + PLACE, "survived", "fold", "block", params=SMALL, classifier=True)
+    fit = M.gbt_oof(t, "id", LISTING + PLACE, "survived", "fold", "block", params=FULL, classifier=True)
     return rounded(M.survival_cells(t.select("id", "cell", "survived").join(fit.predictions, "id"), "cell", "survived", "oof"), 4)
 
 
