@@ -132,3 +132,47 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rentgrid.llm import forest
     return forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _levels(name: str, start: str, also: str = "") -> str:
+    """A recursive table of all levels of digests, three to a parent."""
+    return f"""{name} AS ({start} UNION ALL
+   SELECT {also}k + 1, list_transform(range(0, len(hs), 3), lambda i: sha256(array_to_string(hs[i + 1:i + 3], ''))) FROM {name} WHERE len(hs) > 1)"""
+
+
+def _fold(name: str, start: str, levels: str, on: str) -> str:
+    """A recursive table that folds every row through the levels."""
+    return f"""{name} AS ({start} UNION ALL
+   SELECT f.r, f.source, f.k + 1, f.i // 3, sha256(array_to_string(hs[f.i - f.i % 3 + 1:f.i], '') || f.node || array_to_string(hs[f.i + 2:f.i - f.i % 3 + 3], '')),
+          f.proof || array_to_string(hs[f.i - f.i % 3 + 1:f.i], '') || array_to_string(hs[f.i + 2:f.i - f.i % 3 + 3], '')
+   FROM {name} AS f JOIN {levels} AS l ON l.k = f.k AND {on} WHERE len(l.hs) > 1)"""
+
+
+def _written(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"""
+
+
+@query("op12_merkle", f"""
+WITH RECURSIVE c AS (SELECT *, xor({_CRC32}, 4294967295::BIGINT) % 2 = 0 AS hit FROM documents),
+e AS (SELECT doc_id, source, sha256({" || ".join(map(_written, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+             sha256({" || ".join(map(_written, ("doc_id", "source", "lang", "n_chars", "(CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END)")))}) AS seen
+      FROM c),
+d AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM e),
+t AS (SELECT source, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS hs FROM d GROUP BY source),
+{_levels("lv", "SELECT source, 0 AS k, hs FROM t", "source, ")},
+sub AS (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM lv WHERE len(hs) = 1),
+{_levels("up", "SELECT 0 AS k, list(subroot ORDER BY source NULLS FIRST) AS hs FROM sub")},
+{_fold("f", "SELECT r, source, 0 AS k, i, seen AS node, '' AS proof FROM d", "lv", "l.source IS NOT DISTINCT FROM f.source")},
+h AS (SELECT source, max(k) AS k FROM lv GROUP BY source),
+done AS (SELECT f.* FROM f JOIN h ON h.source IS NOT DISTINCT FROM f.source AND h.k = f.k),
+{_fold("g", "SELECT done.r, done.source, 0 AS k, sub.i, done.node, done.proof FROM done JOIN sub ON sub.source IS NOT DISTINCT FROM done.source", "up", "true")},
+root AS (SELECT hs[1] AS root, k FROM up WHERE len(hs) = 1)
+SELECT d.doc_id, d.leaf, sub.subroot, root.root, sha256(g.proof) AS proof_sha256, g.node AS folded_root, g.node = root.root AS verified
+FROM g JOIN root ON root.k = g.k JOIN d ON d.r = g.r JOIN sub ON sub.source IS NOT DISTINCT FROM d.source""")
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import merkle
+    return merkle.checked(table(spark, sf_dir, "documents"))
