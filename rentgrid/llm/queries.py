@@ -176,3 +176,14 @@ FROM g JOIN root ON root.k = g.k JOIN d ON d.r = g.r JOIN sub ON sub.source IS N
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rentgrid.llm import merkle
     return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import alignment
+    return alignment.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
