@@ -187,3 +187,17 @@ def piece_model_path() -> str:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rentgrid.llm import alignment
     return alignment.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+
+
+@query("op13_vectors", """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+n AS (SELECT r, vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE ok),
+l AS (SELECT a.r, b.r AS o, b.vec_id AS other FROM n AS a JOIN n AS b ON a.r <> b.r AND list_inner_product(a.e, b.e) >= 0.95),
+w AS (SELECT r, r AS o, vec_id AS other FROM v UNION SELECT w.r, l.o, l.other FROM w JOIN l ON l.r = w.o),
+c AS (SELECT r, min(other) AS component_id FROM w GROUP BY r)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.r = v.r)::BIGINT AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN c USING (r)""")
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rentgrid.llm import vectors
+    return vectors.groups(table(spark, sf_dir, "embeddings"))
