@@ -36,7 +36,7 @@ from rentgrid.session import shared_table
 #: Tokens of the first tokenizer in a lane.
 LANE = 256
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: A pair of ids as one number: the first id times this, and the second.
 PAIR = 1 << 32
 
@@ -192,8 +192,11 @@ def aligned(documents: DataFrame, byte_level: str, pieces: str, carried: Sequenc
         link_a, link_b = merged.link_a[order], merged.link_b[order]
         n_links = np.bincount(texts[link_a], minlength=len(n_a)) if len(n_a) else np.empty(0, np.int64)
         n_groups = np.bincount(texts[merged.cut_a], minlength=len(n_a))
+        merged.link_a = merged.link_b = None
         distinct, code, repeats, owned = counted(a[link_a] * PAIR + b[link_b], n_links)
+        del link_a, link_b, order, texts
         texts_of_groups = written_groups(a, b, n_a, n_b, merged, tokens.decimal)
+        del a, b, la, lb, merged
         ends = np.cumsum(owned)
         cut = lambda x: pa.array([x[e - n:e].tobytes() for e, n in zip(ends.tolist(), owned.tolist())], pa.binary())
         last = len(n_a) - 1
