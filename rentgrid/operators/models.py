@@ -8,18 +8,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Executor, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from statistics import NormalDist, median
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rentgrid.operators import validation as V
@@ -28,6 +28,8 @@ from rentgrid.operators.panel import share, spearman
 from rentgrid.session import cut_lineage
 
 SENTINEL = -1e9
+#: Fits that run side by side; each keeps its binned rows in memory.
+PARALLEL_FITS = 10
 MAX_FEATURES = 2_000
 
 
@@ -35,19 +37,19 @@ MAX_FEATURES = 2_000
 class TreeParams:
     """Boosting settings; the number of trees is chosen by early stopping up to ``max_trees``."""
 
-    max_trees: int = 200
+    max_trees: int = 3_000
     depth: int = 5
     step: float = 0.1
     min_rows: int = 30
     row_share: float = 0.8
     feature_share: float = 0.8
-    #: Boosting stops at a tree that lowers the held-out error by less than this share.
-    tolerance: float = 1e-4
+    #: Boosting ends when so many trees in a row did not lower the held-out error.
+    patience: int = 100
     seed: int = V.SEED
 
 
 #: Smaller and shallower, for the published product.
-PRODUCT = TreeParams(max_trees=100, depth=4, step=0.15, min_rows=40)
+PRODUCT = TreeParams(max_trees=600, depth=4, step=0.15, min_rows=40)
 
 
 @dataclass
@@ -102,12 +104,66 @@ def validation_blocks(df: DataFrame, block: str, fold: str, k: int, part: float
     return chosen.groupBy(block).agg(F.array_sort(F.collect_list("j")).alias("held"))
 
 
-def _estimator(p: TreeParams, classifier: bool, validated: bool):
+def _estimator(p: TreeParams, classifier: bool, trees: int):
     cls = GBTClassifier if classifier else GBTRegressor
-    extra = {"validationIndicatorCol": "_val", "validationTol": p.tolerance} if validated else {}
-    return cls(featuresCol="features", labelCol="label", maxIter=p.max_trees, maxDepth=p.depth, stepSize=p.step,
+    return cls(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=p.depth, stepSize=p.step,
                minInstancesPerNode=p.min_rows, subsamplingRate=p.row_share,
-               featureSubsetStrategy=str(p.feature_share), seed=p.seed, **extra)
+               featureSubsetStrategy=str(p.feature_share), seed=p.seed)
+
+
+def best_tree(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """``(trees, ended)``: the trees with the least error before ``patience`` trees in a row brought none lower.
+
+    Not ended means that the errors stop before the patience does. At least one tree is kept.
+    """
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(spark: SparkSession, model, trees: int):
+    """The boosted model cut after its first ``trees`` trees."""
+    if trees >= model.getNumTrees:
+        return model
+    context = spark.sparkContext
+    jvm, new_array = context._jvm, context._gateway.new_array
+    kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    parts = new_array(kind, trees), new_array(jvm.double, trees)
+    for i, (tree, weight) in enumerate(zip(model._java_obj.trees(), model.treeWeights[:trees])):
+        if i == trees:
+            break
+        parts[0][i], parts[1][i] = tree, float(weight)
+    if isinstance(model, GBTClassificationModel):
+        cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            model.uid, *parts, model.numFeatures, model.numClasses))
+    else:
+        cut = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, *parts, model.numFeatures))
+    return model._copyValues(cut)
+
+
+def boosted(grow: DataFrame, held: DataFrame, params: TreeParams, classifier: bool):
+    """A boosted model of ``features`` and ``label``, cut at the tree with the least error on the ``held`` rows.
+
+    The error after every tree comes from one pass over the held rows. The budget
+    starts just above the patience and doubles while the error is still falling near its end;
+    the trees of a smaller budget are the first ones of a larger, so this only costs a
+    second fit of them. Without held rows the first budget is kept.
+    """
+    budget = min(params.max_trees, params.patience + 1)
+    seen = held.first() is not None
+    while True:
+        model = _estimator(params, classifier, budget).fit(grow)
+        if not seen:
+            return model
+        errors = model.evaluateEachIteration(held) if classifier else model.evaluateEachIteration(held, "squared")
+        trees, ended = best_tree(errors, params.patience)
+        if ended or budget >= params.max_trees:
+            return first_trees(grow.sparkSession, model, trees)
+        budget = min(params.max_trees, max(2 * budget, trees + params.patience))
 
 
 def predicted(model, rows: DataFrame, classifier: bool, name: str) -> DataFrame:
@@ -117,36 +173,72 @@ def predicted(model, rows: DataFrame, classifier: bool, name: str) -> DataFrame:
     return out.withColumn(name, F.col("prediction"))
 
 
-def gbt_oof(df: DataFrame, id_column: str, features: Sequence[str], y: str, fold: str, block: str,
-            k: int = V.FOLDS, params: TreeParams = TreeParams(), classifier: bool = False,
-            name: str = "oof", parallel: int = V.FOLDS) -> OutOfFold:
-    """Predict every fold with trees grown on the others, stopped early on held-out training blocks."""
-    keep = [id_column, y, fold, block]
-    rows, names = assemble(df.where(F.col(y).isNotNull()), features, keep)
-    held = validation_blocks(rows, block, fold, k, seed=params.seed)
+@dataclass(frozen=True)
+class FoldTable:
+    """Assembled rows with folds and the blocks held in each, written once for all fits over them."""
+
+    rows: DataFrame
+    names: list[str]
+    id_column: str
+    fold: str
+    k: int
+
+    def columns(self, features: Sequence[str]) -> list[str]:
+        wanted = set(features) | {f + "_missing" for f in features}
+        return [n for n in self.names if n in wanted]
+
+
+def fold_table(df: DataFrame, id_column: str, features: Sequence[str], y: str, fold: str, block: str,
+               k: int = V.FOLDS, seed: int = V.SEED) -> FoldTable:
+    rows, names = assemble(df.where(F.col(y).isNotNull()), features, list(dict.fromkeys([id_column, y, fold, block])))
+    held = validation_blocks(rows, block, fold, k, seed=seed)
     # every boosting round of every fold reads this table
-    table = cut_lineage(rows.join(held, block, "left").withColumn("label", F.col(y).cast("double")))
+    return FoldTable(cut_lineage(rows.join(held, block, "left").withColumn("label", F.col(y).cast("double"))),
+                     names, id_column, fold, k)
 
-    def fit(j: int):
-        training = table.where(F.col(fold) != j).withColumn(
-            "_val", F.coalesce(F.array_contains("held", j), F.lit(False)))
-        return _estimator(params, classifier, True).fit(training.select("features", "label", "_val"))
 
-    with ThreadPoolExecutor(parallel) as pool:
-        models = list(pool.map(fit, range(k)))
-    parts = [predicted(m, table.where(F.col(fold) == j), classifier, name).select(id_column, fold, name)
+def fit_folds(table: FoldTable, features: Sequence[str], params: TreeParams = TreeParams(), classifier: bool = False,
+              name: str = "oof", pool: Executor | None = None) -> OutOfFold:
+    """Predict every fold with trees grown on the others, stopped early on held-out training blocks."""
+    names = table.columns(features)
+    rows = table.rows
+    if names != table.names:
+        places = [table.names.index(n) for n in names]
+        rows = (VectorSlicer(inputCol="features", outputCol="__sliced", indices=places).transform(rows)
+                .drop("features").withColumnRenamed("__sliced", "features"))
+    own = F.col(table.fold)
+
+    def fit(j: int):
+        aside = F.coalesce(F.array_contains("held", j), F.lit(False))
+        training = rows.where(own != j)
+        return boosted(training.where(~aside).select("features", "label"), training.where(aside).select("features", "label"),
+                       params, classifier)
+
+    if pool is None:
+        with ThreadPoolExecutor(table.k) as own_pool:
+            models = list(own_pool.map(fit, range(table.k)))
+    else:
+        models = list(pool.map(fit, range(table.k)))
+    parts = [predicted(m, rows.where(own == j), classifier, name).select(table.id_column, table.fold, name)
              for j, m in enumerate(models)]
-    gains = sum(m.featureImportances.toArray() for m in models) / k
+    gains = sum(m.featureImportances.toArray() for m in models) / table.k
     return OutOfFold(reduce(DataFrame.unionByName, parts), [m.getNumTrees for m in models],
                      dict(zip(names, map(float, gains))), models)
 
 
+def gbt_oof(df: DataFrame, id_column: str, features: Sequence[str], y: str, fold: str, block: str,
+            k: int = V.FOLDS, params: TreeParams = TreeParams(), classifier: bool = False,
+            name: str = "oof") -> OutOfFold:
+    """``fit_folds`` over the rows of ``df`` that have a ``y``."""
+    return fit_folds(fold_table(df, id_column, features, y, fold, block, k, params.seed), features, params, classifier, name)
+
+
 def gbt_final(df: DataFrame, features: Sequence[str], y: str, trees: int, params: TreeParams = TreeParams(),
               classifier: bool = False):
     """Model on all rows with the number of trees the folds chose; returns ``(model, feature names)``."""
     rows, names = assemble(df.where(F.col(y).isNotNull()), features, [y])
     table = cut_lineage(rows.select("features", F.col(y).cast("double").alias("label")))
-    return _estimator(replace(params, max_trees=trees), classifier, False).fit(table), names
+    return _estimator(params, classifier, trees).fit(table), names
 
 
 def apply_model(model, df: DataFrame, features: Sequence[str], keep: Sequence[str], name: str = "prediction",
@@ -331,20 +423,32 @@ class Step:
 
 def ladder(df: DataFrame, steps: Mapping[str, Step], id_column: str, y: str, fold: str, block: str,
            k: int = V.FOLDS) -> tuple[DataFrame, dict[str, OutOfFold]]:
-    """Out-of-fold predictions of every step beside ``id, y, fold``; ``id`` must be unique."""
-    table, fits = require_unique(df.select(id_column, y, fold), id_column), {}
-    for name, s in steps.items():
-        column = f"oof_{name}"
-        if s.kind == "median":
-            p = V.median_baseline(df, y, fold, [list(x) for x in s.keys], k, column).select(id_column, column)
-        elif s.kind == "ridge":
-            fits[name] = hedonic_oof(df, id_column, s.features, s.categorical, y, fold, k, column)
-            p = fits[name].predictions.select(id_column, column)
-        else:
-            fits[name] = gbt_oof(df, id_column, s.features, y, fold, block, k, s.params, name=column)
-            p = fits[name].predictions.select(id_column, column)
-        table = table.join(p, id_column, "left")
-    return cut_lineage(table), fits
+    """Out-of-fold predictions of every step beside ``id, y, fold``; ``id`` must be unique.
+
+    All tree steps read one assembled table and take their features from it; their
+    folds are fitted side by side. The predictions are stacked and meet in one aggregate by id.
+    """
+    base = require_unique(df.select(id_column, y, fold), id_column)
+    trees = [s for s in steps.values() if s.kind not in ("median", "ridge")]
+    features = list(dict.fromkeys(f for s in trees for f in s.features))
+    table = fold_table(df, id_column, features, y, fold, block, k, trees[0].params.seed) if trees else None
+    parts, fits = [], {}
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool, ThreadPoolExecutor(max(1, len(trees))) as rungs:
+        grown = {name: rungs.submit(fit_folds, table, s.features, s.params, False, "p", pool)
+                 for name, s in steps.items() if s.kind not in ("median", "ridge")}
+        for name, s in steps.items():
+            if s.kind == "median":
+                p = V.median_baseline(df, y, fold, [list(x) for x in s.keys], k, "p")
+            elif s.kind == "ridge":
+                fits[name] = hedonic_oof(df, id_column, s.features, s.categorical, y, fold, k, "p")
+                p = fits[name].predictions
+            else:
+                fits[name] = grown[name].result()
+                p = fits[name].predictions
+            parts.append(p.select(id_column, F.lit(name).alias("__step"), F.col("p").cast("double").alias("__p")))
+    tall = reduce(DataFrame.unionByName, parts)
+    wide = tall.groupBy(id_column).agg(*[F.max(F.when(F.col("__step") == n, F.col("__p"))).alias(f"oof_{n}") for n in steps])
+    return cut_lineage(base.join(wide, id_column, "left")), fits
 
 
 def ladder_metrics(oof: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
