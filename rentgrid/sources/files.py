@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rentgrid.functions import constants as K
 from rentgrid.functions.scalars import missing_if_nan, to_number
+from rentgrid.sources.csv_ranges import read_quoted_csv
 
 #: Column with the place of a row in its files.
 ROW = "_row"
@@ -25,16 +26,19 @@ def with_row_order(df: DataFrame) -> DataFrame:
 
 def read_listings_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
                       columns: Sequence[str] | None = None, partitions: int | None = None,
-                      line_breaks: bool = True) -> DataFrame:
+                      line_breaks: bool = True, by_ranges: bool = True) -> DataFrame:
     """CSV (also ``.gz``) with a header, quoted JSON and, if ``line_breaks``, line breaks inside fields.
 
-    A file that may break lines inside fields, and a gzip file, is read by one task:
-    say ``line_breaks=False`` for plain files that have none, so that large ones are
-    split, and give ``partitions`` to spread the rows of the others after the scan.
+    Files with line breaks inside fields are read by ranges, split like any other
+    (``csv_ranges``). ``by_ranges=False`` reads each file in one task, for files whose unquoted fields hold
+    quotes. A gzip file is one range; give ``partitions`` to spread its rows after the scan.
     """
-    reader = (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks)
-              .option("quote", '"').option("escape", '"').option("enforceSchema", False))
-    df = with_row_order(reader.csv(path))
+    if line_breaks and by_ranges:
+        df = read_quoted_csv(spark, path, schema, ROW)
+    else:
+        reader = (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks)
+                  .option("quote", '"').option("escape", '"').option("enforceSchema", False))
+        df = with_row_order(reader.csv(path))
     if columns is not None:
         df = df.select(*columns, ROW)
     return df.repartition(partitions) if partitions else df
