@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.functions import hexgrid as H
+from rentgrid.operators.outlines import containing
 from rentgrid.operators.skew import skewed_join
 from rentgrid.session import cut_lineage
 
@@ -99,19 +100,13 @@ def box_side(polygons: DataFrame, smallest: float = 50.0) -> float:
 
 # --- point in polygon -----------------------------------------------------------------
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, columns: Sequence[str],
-                     side: float | None = None) -> DataFrame:
-    """Left join: ``columns`` of the first polygon (by ordinal) around each point, and ``matches``."""
-    side = side or box_side(polygons)
-    shapes = explode_box_cells(with_edges(polygons), side, 1).select(
-        "cell", "ordinal", *[F.col(c).alias(f"_{c}") for c in columns], "edges", "x0", "x1", "y0", "y1")
-    placed = points.select(F.col(point_id).alias("_id"), "x", "y", H.cell_at("x", "y", side, 1).alias("cell"))
-    pairs = skewed_join(placed, shapes, ["cell"])
-    inside = pairs.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-                         & contains(F.col("edges"), F.col("x"), F.col("y")))
-    best = inside.groupBy("_id").agg(
-        F.min_by(F.struct(*[F.col(f"_{c}").alias(c) for c in columns]), "ordinal").alias("_best"),
-        F.count(F.lit(1)).alias("matches"))
+def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, columns: Sequence[str]) -> DataFrame:
+    """Left join: ``columns`` of the first polygon (by ordinal) around each point, and ``matches``.
+
+    A point meets a few edges of each outline near it (``outlines``), not whole outlines.
+    """
+    best = containing(points, polygons, point_id, columns).groupBy("_id").agg(
+        F.min_by(F.struct(*columns), "ordinal").alias("_best"), F.count(F.lit(1)).alias("matches"))
     joined = points.join(best, points[point_id] == best["_id"], "left")
     return joined.select(*[points[c] for c in points.columns], *[F.col(f"_best.{c}").alias(c) for c in columns],
                          F.coalesce("matches", F.lit(0)).alias("matches"))
@@ -217,32 +212,40 @@ def nearest_distance(points: DataFrame, targets: DataFrame, point_id: str, targe
     return joined.select(*[points[c] for c in points.columns], name)
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, columns: Sequence[str],
-                    mask: Column | None = None) -> DataFrame:
-    """Point in polygon, else the closest polygon; ``how`` says ``contem`` or ``proximo``."""
-    # read three times below, so the point-in-polygon join is written once
-    named = cut_lineage(point_in_polygon(points, polygons, point_id, columns))
-    rest = named.where("matches = 0 AND x IS NOT NULL AND y IS NOT NULL").select(
-        F.col(point_id).alias("_p"), "x", "y")
-    allowed = polygons if mask is None else polygons.where(mask)
-    edges = allowed.select("ordinal", *columns, F.explode(all_edges(F.col("rings"))).alias("e")).select(
+def edge_rows(polygons: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per edge ``ax, ay, bx, by`` beside the ordinal and ``columns`` of its polygon."""
+    return polygons.select("ordinal", *columns, F.explode(all_edges(F.col("rings"))).alias("e")).select(
         "ordinal", *columns, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"),
         F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+
+
+def nearest_edge(places: DataFrame, edges: DataFrame, by: Sequence[str], columns: Sequence[str], finest: float) -> DataFrame:
+    """``by, x, y, b``: for every place the least ``(distance, ordinal, columns)`` over the edges with its ``by``."""
+    by = list(by)
     # the corners are points of the outline: they decide how far to look
-    corners = edges.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
-    reach = _reach(rest, corners)
-    sides = _levels(max(box_side(polygons) / 8, 1e-6), reach)
-    queries = rest.select("x", "y").distinct()
-    cells = _search_cells(queries, corners, [], 1, sides)
+    corners = edges.select(*by, F.col("ax").alias("x"), F.col("ay").alias("y"))
+    sides = _levels(max(finest, 1e-6), _reach(places, corners))
+    cells = _search_cells(places.select(*by, "x", "y").distinct(), corners, by, 1, sides)
     boxed = edges.select("*", F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"),
                          F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1"))
     covers = [explode_box_cells(boxed, s, i + 1).withColumn("level", F.lit(i)) for i, s in enumerate(sides)]
     there = covers[0]
     for c in covers[1:]:
         there = there.unionByName(c)
-    pairs = skewed_join(cells, there.drop("x0", "x1", "y0", "y1"), ["level", "cell"]).withColumn(
+    pairs = skewed_join(cells, there.drop("x0", "x1", "y0", "y1"), [*by, "level", "cell"]).withColumn(
         "distance", segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    best = pairs.groupBy("x", "y").agg(F.min(F.struct("distance", "ordinal", *columns)).alias("b"))
+    return pairs.groupBy(*by, "x", "y").agg(F.min(F.struct("distance", "ordinal", *[c for c in columns if c not in by])).alias("b"))
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, columns: Sequence[str],
+                    mask: Column | None = None) -> DataFrame:
+    """Point in polygon, else the closest polygon; ``how`` says ``contem`` or ``proximo``."""
+    # read three times below, so the point-in-polygon join is written once
+    named = cut_lineage(point_in_polygon(points, polygons, point_id, columns))
+    rest = named.where("matches = 0 AND x IS NOT NULL AND y IS NOT NULL").select(
+        F.col(point_id).alias("_p"), "x", "y")
+    allowed = polygons if mask is None else polygons.where(mask)
+    best = nearest_edge(rest, edge_rows(allowed, columns), [], columns, box_side(polygons) / 8)
     near = rest.join(best, ["x", "y"]).select("_p", F.col("b.distance").alias("distance"),
                                               *[F.col(f"b.{c}").alias(f"_{c}") for c in columns])
     joined = named.join(near, named[point_id] == near["_p"], "left")
@@ -255,18 +258,26 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, colum
 
 
 def declared_area_check(points: DataFrame, polygons: DataFrame, point_id: str, declared: str, name: str) -> DataFrame:
-    """Is a point where it says it is? ``place`` and the distance to the declared area or its own border."""
-    found = point_in_polygon(points, polygons, point_id, [name]).withColumnRenamed(name, "_found")
-    shapes = with_edges(polygons).select(F.col(name).alias("_name"), F.col("edges"))
-    joined = found.join(shapes, found[declared] == shapes["_name"], "left")
-    border = F.when(F.col("edges").isNotNull(), boundary_distance(F.col("edges"), F.col("x"), F.col("y")))
+    """Is a point where it says it is? ``place`` and the distance to the declared area or its own border.
+
+    A point meets only edges near it of the area it declares, found by area and cell, not whole
+    outlines by the name of the area.
+    """
+    around = cut_lineage(containing(points, polygons, point_id, [name]))
+    known = points.select(F.col(point_id).alias("_id"), F.col(declared).alias("_declared"), "x", "y")
+    found = known.join(around, "_id", "left").groupBy("_id").agg(
+        F.min_by(name, "ordinal").alias("_found"), F.max(F.col(name) == F.col("_declared")).alias("_within"))
+    asked = known.where("x IS NOT NULL AND y IS NOT NULL AND _declared IS NOT NULL").withColumnRenamed("_declared", name)
+    border = nearest_edge(asked, edge_rows(polygons, [name]), [name], [], box_side(polygons) / 8).select(
+        F.col(name).alias("_name"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("b.distance").alias("_border"))
+    joined = points.join(found, points[point_id] == found["_id"], "left").join(
+        border, (points[declared] == border["_name"]) & (points["x"] == border["_x"]) & (points["y"] == border["_y"]), "left")
     place = (F.when(F.col("_found").eqNullSafe(F.col(declared)) & F.col("_found").isNotNull(), "declared")
              .when(F.col("_found").isNull(), "none").otherwise("other"))
-    within = F.when(F.col("edges").isNotNull(), contains(F.col("edges"), F.col("x"), F.col("y")))
     # a point inside two areas counts under the first, yet lies inside the declared one too
-    outside = F.when(within, F.lit(0.0)).otherwise(border)
-    return joined.select(*[found[c] for c in points.columns], place.alias("place"),
-                         F.when(place == "declared", border).alias("border_m"),
+    outside = F.when(F.col("_within"), F.lit(0.0)).otherwise(F.col("_border"))
+    return joined.select(*[points[c] for c in points.columns], place.alias("place"),
+                         F.when(place == "declared", F.col("_border")).alias("border_m"),
                          F.when(place != "declared", outside).alias("declared_m"))
 
 
@@ -297,11 +308,11 @@ def within_radius(points: DataFrame, targets: DataFrame, point_id: str, radius:
                   lines: str, separator: str = " ") -> DataFrame:
     """Per point: distinct complexes and distinct lines within the radius, zero where there is none."""
     pairs = radius_pairs(points, targets, point_id, radius, [complex_id, lines])
-    complexes = pairs.groupBy(point_id).agg(F.count_distinct(complex_id).alias("complexes"))
-    served = pairs.select(point_id, F.explode(F.split(lines, separator)).alias("line")).where("line <> ''")
-    by_line = served.groupBy(point_id).agg(F.count_distinct("line").alias("lines"))
-    out = points.select(point_id).join(complexes, point_id, "left").join(by_line, point_id, "left")
-    return out.fillna(0, ["complexes", "lines"])
+    # one pass over the pairs: a row per line, and one without a line that carries the complex
+    served = F.concat(F.array(F.lit("")), F.split(F.coalesce(F.col(lines), F.lit("")), separator))
+    counts = pairs.select(point_id, complex_id, F.explode(F.array_distinct(served)).alias("line")).groupBy(point_id).agg(
+        F.count_distinct(complex_id).alias("complexes"), F.count_distinct(F.when(F.col("line") != "", F.col("line"))).alias("lines"))
+    return points.select(point_id).join(counts, point_id, "left").fillna(0, ["complexes", "lines"])
 
 
 def ring_sum(cells: DataFrame, counts: DataFrame, cell: str, value: str, k: int = 1, name: str = "ring_sum") -> DataFrame:
