@@ -1,41 +1,47 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least 4/5.
 
-All such pairs are found, by prefix filtering. Shingles have one order for all
-documents, the rare ones first. Two sets of similarity ``t`` or more share one of the
-first ``n - ceil(t * n) + 1`` shingles of that order, so documents meet at a shingle of
-their prefixes; sizes and positions there rule out pairs that cannot reach ``t``, and
-every other pair is compared shingle by shingle in a task. Which shingles are common is
-told by a bounded sample. It only sets the order, and any order finds every pair.
+Candidates share a band of their MinHash signatures: 40 bands of 5 hashes each, so a
+pair at just 4/5 is missed with a chance of 1.3e-7 and one farther above with less, at
+any number of documents; documents that share a passage but little else do not meet. Every
+candidate pair is compared shingle by shingle in a task, so nothing below 4/5 is linked.
 
-Where many documents meet at a shingle, all are compared with the smallest node first,
-and then only those pairs that are not in one group yet.
+Documents with equal shingle sets are one node. In a bucket all nodes are first compared with one of
+them, then, where they are not in one group yet, with another one, for a few rounds,
+and in the end every pair of different groups is compared. So a group of true copies costs
+about one comparison a document and band, whatever its size. A text is sent once
+for each document it is compared with, the text of that one once a task.
 
 Defined results: words are split and lowered as in ``simhash``; a null text has no
 words; texts without words are copies of one another; a text shorter than a shingle is
-one shingle. Groups are the connected pairs, and of a group the row with the smallest
-id stays (then the smallest row hash). Rows without an id stay.
+one shingle; texts of any length are taken whole. Groups are the connected pairs, and of a group the row with the smallest
+id stays (then the smallest row hash). Rows without an id stay. Columns may have any name and type.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rentgrid.llm.common import per_document, sent, text_batches
+from rentgrid.llm.common import per_document, text_batches
 from rentgrid.llm.components import component_roots
-from rentgrid.session import shared_table
+from rentgrid.llm.words import mixed
+from rentgrid.session import drop_table, shared_table
 
 #: Shingles and the least similarity, as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
-#: At a shingle with more documents, the first round compares with one of them only.
-MANY = 32
-#: The order of shingles is told by so many rows, and counts so many common shingles.
-ORDER_ROWS, ORDER_SHINGLES = 10_000, 1_000_000
+#: Bands of a signature and hashes of a band.
+BANDS, BAND_HASHES = 40, 5
+#: Rounds in which a bucket's nodes are compared with one of them.
+ROUNDS = 3
+#: Texts compared with one document in a task.
+PIECE = 500
+#: Lists of row keys up to this length are broadcast, longer ones are joined by key.
+SENT_ROWS = 500_000
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -57,212 +63,153 @@ def shingle_set(text: str, words: int = WORDS) -> frozenset:
     return frozenset(b" ".join(split[i:i + words]) for i in range(max(1, len(split) - words + 1))) if split else frozenset()
 
 
-def common_shingles(documents: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, counts)`` of shingles that occur in three or more rows of a sample, sorted by hash."""
-    rows = max(documents.count(), 1)
-    drawn = documents.where(F.pmod(F.xxhash64(F.lit("order"), F.col("__h")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, ORDER_ROWS / rows)))
+def multipliers(n: int) -> np.ndarray:
+    """Odd 64-bit factors, the same everywhere."""
+    return np.random.default_rng(17).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches):
-        for batch in text_batches(batches, "text"):
-            hashes, counts = np.unique(np.concatenate([shingle_hashes(t or "", words) for t in batch.column("text").to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
-    counted = (drawn.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "key long, n long")
-               .groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).toArrow())
-    hashes = counted.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], counted.column("n").to_numpy().astype(np.int64)[order]
+def band_keys(hashes: np.ndarray, bands: int = BANDS, width: int = BAND_HASHES, at_once: int = 4096) -> np.ndarray:
+    """One 64-bit key per band of the MinHash signature of a set of hashes; the empty set has its own."""
+    factors = multipliers(bands * width)
+    least = np.full(bands * width, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), at_once):
+        part = hashes[i:i + at_once, None] * factors
+        np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0), out=least)
+    rows = least.reshape(bands, width)
+    key = np.zeros(bands, np.uint64)
+    for column in range(width):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, column])
+    return key
+
 
+def row_key(columns: list[str], schema: T.StructType) -> Column:
+    """128 bits of a row, whatever the types of its columns."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    own = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c].simpleString() or "variant" in kinds[c].simpleString() else F.col(f"`{c}`")
+           for c in columns]
+    return F.struct(F.xxhash64(*own).alias("p"), F.xxhash64(F.lit("second"), *own).alias("q"))
 
-def pair_filter(num: int, den: int):
-    """Whether sets of sizes ``n`` and ``m`` whose first common shingle is at ``i`` and ``j`` can reach the similarity."""
-    def possible(n, i, m, j):
-        most = 1 + np.minimum(n - 1 - i, m - 1 - j)
-        return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * most >= num * (n + m))
 
-    return possible
+def listed(rows: DataFrame) -> DataFrame:
+    """A table of keys, broadcast where it is short."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
 
 
-def bucket_pairs(similarity: tuple[int, int], many: int, rows_at_once: int = 100_000):
-    """A function for ``mapInArrow``: rows ``key, node, size, pos`` sorted by key and node to pairs ``(a, b)``.
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts (``node, text``) reach the similarity, compared shingle by shingle.
 
-    Up to ``many`` rows of a key give all pairs; more give those with
-    the first row, and a row ``(key, null)`` that names the key.
+    All ``b`` of an ``a`` stream past its shingles, in pieces of bounded size.
     """
-    possible = pair_filter(*similarity)
-
-    def pairs(key, node, size, pos):
-        starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-        ends = np.append(starts[1:], len(key))
-        hot = ends - starts > many
-        rows = np.arange(len(key))
-        end = np.repeat(ends, ends - starts)
-        small = np.repeat(~hot, ends - starts)
-        left, right = [], []
-        for step in range(1, int(min(many, (ends - starts).max()))):
-            i = rows[small & (rows + step < end)]
-            left.append(i)
-            right.append(i + step)
-        for lo, hi in zip(starts[hot].tolist(), ends[hot].tolist()):
-            right.append(np.arange(lo + 1, hi))
-            left.append(np.full(hi - lo - 1, lo))
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            ok = possible(size[i], pos[i], size[j], pos[j])
-            yield node[i[ok]], node[j[ok]], None
-        if hot.any():
-            yield key[starts[hot]], key[starts[hot]], True
+    num, den = similarity
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
+    dealt = shared_table(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("pieces")).alias("piece")), "dealt-pairs")
+    others = dealt.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "piece", "b", "text")
+    heads = dealt.select("a", "piece").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select(
+        "a", "piece", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(others).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
 
     def run(batches):
-        held, count = [], 0
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held.append([c.to_numpy() for c in batch.columns])
-                count += batch.num_rows
-                if count < rows_at_once:
+        head = frozenset()
+        for batch in text_batches(batches, "text"):
+            left, right = [], []
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text"))):
+                own = shingle_set(text or "", words)
+                if b is None:
+                    head = own
                     continue
-            if not count:
-                continue
-            columns = [np.concatenate(c) for c in zip(*held)]
-            key = columns[0]
-            last = len(key)
-            if batch is not None:
-                last = 0 if key[0] == key[-1] else len(key) - int((key[::-1] != key[-1]).argmax())
-            if last:
-                for a, b, hot in pairs(*[c[:last] for c in columns]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if hot else pa.array(b, pa.int64())], names=["a", "b"])
-            held, count = [[c[last:] for c in columns]], len(key) - last
-
-    return run
-
-
-def remaining_pairs(similarity: tuple[int, int]):
-    """Like ``bucket_pairs`` on rows with a ``root`` too: all pairs of different roots of a key, a left row at a time."""
-    possible = pair_filter(*similarity)
-
-    def of_key(columns):
-        _, node, size, pos, root = columns
-        for i in range(len(node) - 1):
-            ok = possible(size[i], pos[i], size[i + 1:], pos[i + 1:]) & (root[i + 1:] != root[i])
-            if ok.any():
-                b = node[i + 1:][ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), node[i])), pa.array(b)], names=["a", "b"])
+                common = len(head & own)
+                if den * common >= num * (len(head) + len(own) - common):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    def run(batches):
-        held: list = []
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            cuts = np.append(0, np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1) if batch.num_rows else []
-            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows]):
-                part = [c[lo:hi] for c in columns]
-                if held and held[0][0][0] != part[0][0]:
-                    yield from of_key([np.concatenate(c) for c in zip(*held)])
-                    held = []
-                held.append(part)
-        if held:
-            yield from of_key([np.concatenate(c) for c in zip(*held)])
-
-    return run
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts (``node, text``) reach the similarity, compared shingle by shingle."""
-    num, den = similarity
+def near_copies(rows: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(marked, nodes, roots)`` of ``rows (doc_id, h, text)``.
 
-    def run(batches):
-        seen = lru_cache(8)(lambda t: shingle_set(t, words))
-        for whole in batches:
-            for batch in text_batches([whole], "text_b"):
-                kept = []
-                for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                    x, y = seen(ta or ""), seen(tb or "")
-                    common = len(x & y)
-                    kept.append(den * common >= num * (len(x) + len(y) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def near_copies(documents: DataFrame, text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY,
-                many: int = MANY) -> tuple[DataFrame, DataFrame]:
-    """``(rows, roots)``: ``doc_id, __h, node`` of every row, and ``a, b``: nodes with the smallest node of their group.
-
-    ``documents`` has a row hash ``__h``; a node stands for all rows with the same shingles.
+    ``marked``: ``doc_id, h`` of every row; ``nodes``: ``node, first``, the least ``(doc_id, h)`` with an id of every
+    distinct shingle set; ``roots``: ``a, b``, nodes with the smallest node of their group.
     """
     num, den = similarity
-    order = sent(documents.sparkSession, common_shingles(documents, text, words))
 
     def columns(texts):
         import xxhash
 
-        hashes, counts = order()
-        nodes, sizes, prefixes = [], [], []
-        for t in texts:
-            found = shingle_hashes(t, words)
-            n = len(found)
-            nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
-            sizes.append(n)
-            if not n:
-                prefixes.append(found.view(np.int64))
-                continue
-            weight = np.zeros(n, np.int64)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                weight = np.where(hashes[at] == found, counts[at], 0)
-            first = np.argsort(weight, kind="stable")[:n - (num * n + den - 1) // den + 1]
-            prefixes.append(found[first].view(np.int64))
-        return {"node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()),
-                "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
-
-    marked = shared_table(per_document(documents, ["doc_id", "__h"], text, "node long, size int, prefix array<long>", columns), "marked")
-    nodes = shared_table(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"),
-                                                    F.min("__h").alias("__h")), "nodes")
-    spread = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
-
-    def sorted_rows(rows):
-        return rows.repartition("key").sortWithinPartitions("key", "node")
-
-    found = shared_table(sorted_rows(spread)
-                         .mapInArrow(bucket_pairs(similarity, many), "a long, b long").distinct(), "met")
-
-    def checked(pairs):
+        found = [shingle_hashes(t, words) for t in texts]
+        keys = np.concatenate([band_keys(h) for h in found]).view(np.int64)
+        return {"shingles": pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
+                "size": pa.array([len(h) for h in found], pa.int32()),
+                "bands": pa.FixedSizeListArray.from_arrays(pa.array(keys), BANDS).cast(pa.list_(pa.int64()))}
+
+    marked = shared_table(per_document(rows, ["doc_id", "h"], "text", "shingles binary, size int, bands array<long>", columns), "marked")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")
+    nodes = shared_table(marked.groupBy("shingles").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.min("h").alias("h"), first)
+                         .drop("shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spread = nodes.select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    met = shared_table(spread.join(several, "bucket"), "met")
+
+    def compared(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = nodes.select("node", "__h").join(needed, "node", "left_semi")
-        texts = shared_table(documents.select("__h", F.col(f"`{text}`").cast("string").alias("text")).join(rows, "__h")
-                             .dropDuplicates(["node"]).select("node", "text"), "texts")
-        return shared_table(confirmed(pairs, texts, words, similarity), "links")
-
-    pairs = found.where("b IS NOT NULL")
-    links = checked(pairs)
-    roots = component_roots(links)
-    hot = found.where("b IS NULL").select(F.col("a").alias("key"))
-    if hot.first() is not None:
-        grouped = spread.join(hot, "key").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-        rest = (sorted_rows(grouped.select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root")))
-                .mapInArrow(remaining_pairs(similarity), "a long, b long").distinct())
-        rest = shared_table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        if rest.first() is not None:
-            roots = component_roots(links.union(checked(rest)))
-    return marked.select("doc_id", "__h", "node"), roots
-
-
-def kept_documents(documents: DataFrame, **parameters) -> DataFrame:
+        keys = shared_table(nodes.select("node", F.col("h").alias("key")).join(needed, "node", "left_semi"), "wanted")
+        texts = shared_table(rows.join(listed(keys), rows["h"] == keys["key"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        out = shared_table(confirmed(pairs, texts, words, similarity), "copies")
+        drop_table(texts)
+        return out
+
+    def alike(a: str, b: str) -> Column:
+        return den * F.least(a, b) >= num * F.greatest(a, b)
+
+    links, done, roots = [], [], None
+    for turn in range(rounds + 1):
+        open_ = met
+        if roots is not None:
+            rooted = met.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn(
+                "root", F.coalesce("root", "node"))
+            split = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+            open_ = shared_table(rooted.join(split, "bucket"), "open")
+        if open_.first() is None:
+            break
+        other = F.col("root") != F.col("root2") if roots is not None else F.lit(True)
+        kept = ["node", "size"] + (["root"] if roots is not None else [])
+        if turn < rounds:
+            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), *kept)
+            chosen = open_.groupBy("bucket").agg(F.min(order).alias("r")).select("bucket", *[F.col(f"r.{c}").alias(f"{c}2") for c in kept])
+        else:
+            chosen = open_.select("bucket", *[F.col(c).alias(f"{c}2") for c in kept])
+        different = F.col("node") != F.col("node2") if turn < rounds else F.col("node") < F.col("node2")
+        pairs = open_.join(chosen, "bucket").where(different & other & alike("size", "size2"))
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        for earlier in done:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        pairs = shared_table(pairs, "pairs")
+        if pairs.first() is None:
+            continue
+        done.append(pairs)
+        links.append(compared(pairs))
+        roots = component_roots(reduce(DataFrame.unionByName, links))
+    if roots is None:
+        roots = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return marked, nodes.select("node", "first"), roots
+
+
+def kept_documents(documents: DataFrame, text: str = "text", **parameters) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id; rows without an id stay as they are."""
-    hashed = documents.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
-    rows, roots = near_copies(hashed, **parameters)
-    keyed = shared_table(rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "__h", "node").agg(F.count(F.lit(1)).alias("n")), "keyed")
-    grouped = keyed.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "__h")).alias("k"))
-    kept = shared_table(kept.select("k.doc_id", "k.__h"), "kept")
-    # few rows go and fewer are repeated whole, so texts need not move where these lists are small
-    repeated = keyed.where("n > 1").select("doc_id", "__h")
-    gone = shared_table(keyed.select("doc_id", "__h").join(kept, ["doc_id", "__h"], "left_anti").union(repeated), "gone")
-    out = hashed.join(gone, ["doc_id", "__h"], "left_anti").select(documents.columns)    # a null id equals none, so it stays
-    again = shared_table(repeated.join(kept, ["doc_id", "__h"], "left_semi"), "again")
+    columns = documents.columns
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
+                            row_key(columns, documents.schema).alias("h"))
+    marked, nodes, roots = near_copies(rows.select("doc_id", "h", "text"), **parameters)
+    keyed = shared_table(marked.where("doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "keyed")
+    grouped = nodes.where("first IS NOT NULL").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    kept = shared_table(grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("k")).select("k.doc_id", "k.h"), "kept")
+    # few rows go and fewer are repeated whole, so texts need not move where these lists are short
+    repeated = keyed.where("n > 1").select("doc_id", "h")
+    gone = shared_table(keyed.select("doc_id", "h").join(kept, ["doc_id", "h"], "left_anti").union(repeated), "gone")
+    out = rows.join(listed(gone), ["doc_id", "h"], "left_anti").select("row.*")             # a null id equals none, so it stays
+    again = shared_table(repeated.join(kept, ["doc_id", "h"], "left_semi"), "again")
     if again.first() is None:
         return out
-    once = hashed.join(again, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
-    return out.unionByName(once.select(documents.columns))
+    once = rows.join(listed(again), ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.any_value("row").alias("row"))
+    return out.unionByName(once.select("row.*"))

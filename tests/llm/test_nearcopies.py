@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from rentgrid.llm import nearcopies
@@ -62,7 +64,7 @@ def test_pipeline_stage_finds_planted_near_copies(spark):
 
 
 def test_every_pair_at_common_shingles(spark):
-    """Few documents are many here, so both rounds run; one line is in every text and one group is large."""
+    """One line is in every text and one group is large; with rounds of one document and with all pairs at once."""
     line = " ".join(f"common{i}" for i in range(30))
     rows = [(d, f"{line} {t}") for d, t in planted(2, 15, 12, 100)]
     draw = random.Random(5)
@@ -71,7 +73,7 @@ def test_every_pair_at_common_shingles(spark):
         at = draw.randrange(80)                            # a chain: neighbours are near, the ends are not
         rows.append((1000 + i, " ".join(base[:at] + [f"n{i}"] * draw.randrange(1, 4) + base[at:])))
         rows.append((2000 + i, " ".join(base[i % 10 * 4:] + [f"t{j}" for j in range(i % 10 * 4)])))
-    assert ids(spark, rows, many=2) == kept(rows) == ids(spark, rows)
+    assert ids(spark, rows, rounds=0) == kept(rows) == ids(spark, rows, rounds=1) == ids(spark, rows)
 
 
 def test_repeated_ids_keep_a_row_of_every_group(spark, edge):
@@ -88,3 +90,22 @@ def test_repeated_ids_keep_a_row_of_every_group(spark, edge):
 
 def test_no_rows(spark, nothing):
     assert nearcopies.kept_documents(nothing).count() == 0
+
+
+def test_bands_find_pairs_at_the_similarity_and_no_strangers():
+    draw = random.Random(3)
+    found = strangers = 0
+    for i in range(300):
+        shared, own = draw.sample(range(10**9), 160), draw.sample(range(10**9, 2 * 10**9), 60)
+        def keys(numbers):
+            hashes = np.array(sorted(n * 0x9E3779B97F4A7C15 % 2**64 for n in numbers), np.uint64)
+            return nearcopies.band_keys(hashes, at_once=37)
+        found += (keys(shared + own[:20]) == keys(shared + own[20:40])).any()             # 160 of 200: just alike
+        strangers += (keys(shared[:20] + own) == keys(shared[:20] + [n + 3 * 10**9 for n in own])).any()
+    assert found == 300 and strangers <= 6
+
+
+def test_map_columns_and_clashing_names(spark):
+    table = spark.createDataFrame([(1, "a b c d e f", {"k": "v"}, "x"), (2, "a b c d e f", {"k": "w"}, "y"), (3, "z", None, None)],
+                                  "doc_id long, text string, h map<string,string>, row string")
+    assert sorted((r["doc_id"], r["h"], r["row"]) for r in nearcopies.kept_documents(table).collect()) == [(1, {"k": "v"}, "x"), (3, None, None)]

@@ -6,7 +6,7 @@ import pytest
 
 from rentgrid.llm import mixing
 from rentgrid.llm.queries import tokenizer_path
-from test_simhash import plain_groups
+from test_nearcopies import kept as plain_kept
 from test_substring import removed
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not there")
@@ -29,7 +29,7 @@ def test_every_stage_against_plain_python(spark):
 
     single = stages["simhash"](spark, told, "").cache()
     assert single.columns == columns
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted({c for _, _, c in plain_groups(rows)})
+    assert sorted(r["doc_id"] for r in single.collect()) == plain_kept(rows)
 
     cut = stages["substring_dedup"](spark, single, "").cache()
     assert cut.columns == columns
