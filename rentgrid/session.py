@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the tables written since the innermost ``tables_made`` began.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def tables_made():
+    """A list of the folders of all shared tables that are written inside the block."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        made = _MADE.pop()
+        if _MADE:
+            _MADE[-1].extend(made)
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete shared tables that nothing reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table that ``shared_table`` returned and that nothing reads any more."""
+    drop_folders(table.sparkSession, [table._folder])
+
+
 def _delete_on_exit(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
@@ -61,7 +90,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     _delete_on_exit(spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    if _MADE:
+        _MADE[-1].append(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
