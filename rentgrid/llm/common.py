@@ -33,10 +33,10 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = BAT
 
 
 def per_document(df: DataFrame, carried: Sequence[str], text: str, schema: str,
-                 columns: Callable[[list[str]], dict[str, list]]) -> DataFrame:
+                 columns: Callable[[list[str]], dict[str, list]], size: int = BATCH_BYTES) -> DataFrame:
     """Rows of ``carried`` with what ``columns(texts)`` derives from whole texts (null: empty), a batch at a time.
 
-    ``schema`` names the derived columns. Only ``carried`` and ``text`` are read, and
+    ``schema`` names the derived columns, ``size`` the bytes of text in a batch. Only ``carried`` and ``text`` are read, and
     the text once where it is carried too.
     """
     source = text if text in carried else "__text"
@@ -47,7 +47,7 @@ def per_document(df: DataFrame, carried: Sequence[str], text: str, schema: str,
     names = [*carried, *derived]
 
     def run(batches):
-        for batch in text_batches(batches, source):
+        for batch in text_batches(batches, source, size):
             made = columns([t or "" for t in batch.column(source).to_pylist()])
             new = [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c]) for c in derived]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(carried)], *new], names=names)

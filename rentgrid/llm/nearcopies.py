@@ -40,6 +40,8 @@ BANDS, BAND_HASHES = 40, 5
 ROUNDS = 3
 #: Texts compared with one document in a task.
 PIECE = 500
+#: Bytes of text that a task holds in Python at a time.
+HELD_BYTES = 2 << 20
 #: Lists of row keys up to this length are broadcast, longer ones are joined by key.
 SENT_ROWS = 500_000
 
@@ -68,7 +70,7 @@ def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(17).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, width: int = BAND_HASHES, at_once: int = 4096) -> np.ndarray:
+def band_keys(hashes: np.ndarray, bands: int = BANDS, width: int = BAND_HASHES, at_once: int = 512) -> np.ndarray:
     """One 64-bit key per band of the MinHash signature of a set of hashes; the empty set has its own."""
     factors = multipliers(bands * width)
     least = np.full(bands * width, np.iinfo(np.uint64).max, np.uint64)
@@ -110,7 +112,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[
 
     def run(batches):
         head = frozenset()
-        for batch in text_batches(batches, "text"):
+        for batch in text_batches(batches, "text", HELD_BYTES):
             left, right = [], []
             for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text"))):
                 own = shingle_set(text or "", words)
@@ -137,13 +139,14 @@ def near_copies(rows: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     def columns(texts):
         import xxhash
 
+        pa.default_memory_pool().release_unused()              # what earlier tasks of this worker left
         found = [shingle_hashes(t, words) for t in texts]
         keys = np.concatenate([band_keys(h) for h in found]).view(np.int64)
         return {"shingles": pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
                 "size": pa.array([len(h) for h in found], pa.int32()),
                 "bands": pa.FixedSizeListArray.from_arrays(pa.array(keys), BANDS).cast(pa.list_(pa.int64()))}
 
-    marked = shared_table(per_document(rows, ["doc_id", "h"], "text", "shingles binary, size int, bands array<long>", columns), "marked")
+    marked = shared_table(per_document(rows, ["doc_id", "h"], "text", "shingles binary, size int, bands array<long>", columns, HELD_BYTES), "marked")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")
     nodes = shared_table(marked.groupBy("shingles").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.min("h").alias("h"), first)
                          .drop("shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
