@@ -215,9 +215,12 @@ def shipped(df: DataFrame, path: str):
     return vocabulary
 
 
-def encode(df: DataFrame, path: str, carried: Sequence[str], text: str = "text", decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, carried: Sequence[str], text: str = "text", decoded: bool = False,
+           size: int = BATCH_BYTES) -> DataFrame:
     """``carried``, ``n_tokens`` and ``ids``: the ids as little-endian unsigned 32-bit integers.
 
+    ``size`` is the text of a block in bytes; it bounds memory and changes no result.
+
     With ``decoded`` the ids are also turned back, into the string column ``decoded``.
     """
     vocabulary = shipped(df, path)
@@ -236,7 +239,7 @@ def encode(df: DataFrame, path: str, carried: Sequence[str], text: str = "text",
             out["decoded"] = [readable(decode_ids(flat[e - c:e], vocabulary())) for e, c in zip(ends.tolist(), counts.tolist())]
         return {k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary() if k == "ids" else pa.string()) for k, v in out.items()}
 
-    return per_document(df, carried, text, schema, columns)
+    return per_document(df, carried, text, schema, columns, size)
 
 
 def decode(df: DataFrame, path: str, carried: Sequence[str], ids: str = "ids") -> DataFrame:
