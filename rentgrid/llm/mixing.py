@@ -8,12 +8,14 @@ a pattern is taken whole and how many words remain; for the rest documents are t
 in the order of a seeded hash until the words are reached, the last one in part.
 
 Only totals per pattern and source reach the driver, so its memory grows with the
-number of patterns and not with documents. The cut in the seeded order is found from
-bucket totals and one bucket per pattern; no window holds a whole source.
+number of patterns and not with documents. The cut in the seeded order is found in
+steps (buckets of places, one place, buckets of row hashes, one row), each from totals
+of the step before; no window holds a whole source, or all rows of one id.
 
 Defined results: a null text has size 0 and takes nothing. A null source is a source
 of its own, the last. Rows that repeat an id (or have none) share its place in the
-order and are cut alike.
+order and follow one another there by a hash of the whole row; of rows equal in every
+column it is open which one is cut.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentgrid.llm.common import packed, unpacked
+from rentgrid.llm.nearcopies import row_key
 from rentgrid.session import shared_table
 
 WEIGHTS = (5, 2, 1)
@@ -143,8 +147,9 @@ def mixed(documents: DataFrame, members: Column, text: str = "text", weights: Se
     source (as JSON) to its words in all rows and its target.
     """
     spark = documents.sparkSession
-    marked = documents.withColumns({"__size": word_count(text), "__pattern": pattern(members), "__place": place(seed)})
-    sizes = shared_table(marked.select("doc_id", "__size", "__pattern", "__place"), "sizes")
+    marked = documents.withColumns({"__size": word_count(text), "__pattern": pattern(members), "__place": place(seed),
+                                    "__tie": row_key(documents.columns, documents.schema)})
+    sizes = shared_table(marked.select("doc_id", "__size", "__pattern", "__place", "__tie"), "sizes")
     rows = sizes.groupBy("__pattern").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     words = {r["__pattern"]: r["words"] for r in rows}
     per_source: dict = {}
@@ -154,39 +159,58 @@ def mixed(documents: DataFrame, members: Column, text: str = "text", weights: Se
     targets = target_words(per_source, weights, repeats, share)
     taken = allotments(words, {s: int(t + 0.5) for s, t in targets.items()}, repeats)
 
-    schema = ("__pattern string, buckets long, times long, rest long, "
-              "__targets array<struct<source:string,words:long,target:double>>")
+    targets_type = "array<struct<source:string,words:long,target:double>>"
     plan = [(r["__pattern"], max(1, -(-r["rows"] // bucket_rows)), *(divmod(taken[r["__pattern"]], r["words"]) if r["words"] else (0, 0)),
              [(s, per_source[s], targets[s]) for s in json.loads(r["__pattern"])]) for r in rows]
     sent = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda df: df)
-    plans = spark.createDataFrame(plan, schema)
-    placed = sizes.join(sent(plans.select("__pattern", "buckets", "rest")), "__pattern").withColumn(
-        "bucket", (F.col("__place") * F.col("buckets") / F.lit(float(HASH_RANGE))).cast("long"))
-    totals = placed.groupBy("__pattern", "rest", "bucket").agg(F.sum("__size").alias("words"))
-    earlier = Window.partitionBy("__pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    reached = totals.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).where(
-        (F.col("rest") > F.col("before")) & (F.col("rest") <= F.col("before") + F.col("words")))
-    inside = placed.join(reached.select("__pattern", "bucket", "before"), ["__pattern", "bucket"])
-    order = Window.partitionBy("__pattern", "bucket").orderBy("__place", "doc_id")
-    cut = inside.withColumn("__before", F.col("before") + F.coalesce(F.sum("__size").over(order) - F.sum("__size").over(
-        Window.partitionBy("__pattern", "bucket", "__place", "doc_id")), F.lit(0))).where(F.col("__before") < F.col("rest"))
-    last = cut.groupBy("__pattern").agg(F.max(F.struct(F.col("__place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
-                                                       F.col("doc_id"), F.col("__before"))).alias("cut"))
+    plans = spark.createDataFrame(plan, f"__pattern string, buckets long, times long, rest long, __targets {targets_type}")
+    left = sizes.join(sent(plans.select("__pattern", "buckets", "rest")), "__pattern")
+    left = reached(left, (F.col("__place") * F.col("buckets") / F.lit(float(HASH_RANGE))).cast("long"))
+    left = reached(left, F.struct("__place", "doc_id"))
+    left = reached(left, ((F.col("__tie.p") / F.lit(2.0 ** 64) + 0.5) * F.ceil(F.col("rows") / bucket_rows)).cast("long"))
+    left = reached(left, F.col("__tie"))
     # a row per pattern: the whole plan, bounded by the number of patterns
-    last_rows = {r["__pattern"]: r["cut"] for r in last.collect()}
+    cuts = {r["__pattern"]: r for r in left.dropDuplicates(["__pattern"]).collect()}
     kind = documents.schema["doc_id"].dataType.simpleString()
     full = spark.createDataFrame(
-        [(p, times, rest, t, *((c["__place"], c["doc_id"], c["__before"]) if (c := last_rows.get(p)) else (-1, None, 0)))
-         for p, _, times, rest, t in plan],
-        f"__pattern string, __times long, __rest long, __targets array<struct<source:string,words:long,target:double>>, "
-        f"__cut long, __cut_id {kind}, __before long")
+        [(p, times, t, *((c["__place"], c["doc_id"], c["__tie"], c["rest"], c["rows"]) if (c := cuts.get(p)) else (-1, None, None, 0, 0)))
+         for p, _, times, _, t in plan],
+        f"__pattern string, __times long, __targets {targets_type}, __cut long, __cut_id {kind}, __cut_tie struct<p:long,q:long>, "
+        f"__rest long, __copies long")
     joined = marked.join(sent(full), "__pattern", "left")
-    at_cut = (F.col("__place") == F.col("__cut")) & F.col("doc_id").eqNullSafe(F.col("__cut_id"))
-    ahead = (F.col("__place") < F.col("__cut")) | ((F.col("__place") == F.col("__cut")) & (
-        F.col("doc_id").isNull() | (F.col("doc_id") < F.col("__cut_id"))))
-    more = F.when(at_cut, F.least("__size", F.col("__rest") - F.col("__before"))).when(ahead, F.col("__size")).otherwise(F.lit(0))
-    return joined.withColumn("__taken", F.col("__times") * F.col("__size") + more.cast("long")).drop(
-        "__place", "__times", "__rest", "__cut", "__cut_id", "__before")
+    same_place = F.col("__place") == F.col("__cut")
+    same_id = same_place & F.col("doc_id").eqNullSafe(F.col("__cut_id"))
+    at_cut = same_id & (F.col("__tie") == F.col("__cut_tie"))
+    ahead = ((F.col("__place") < F.col("__cut")) | (same_id & (F.col("__tie") < F.col("__cut_tie")))
+             | (same_place & F.col("__cut_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("__cut_id")))))
+    whole = F.col("__times") * F.col("__size")
+    more = F.when(at_cut, F.least("__size", "__rest")).when(ahead, F.col("__size")).otherwise(F.lit(0))
+    result = [*[F.col(f"`{c}`") for c in documents.columns], F.col("__size"), F.col("__pattern"), F.col("__targets")]
+    out = joined.withColumn("__taken", whole + more.cast("long"))
+    if all(c["rows"] == 1 for c in cuts.values()):
+        return out.select(*result, "__taken")
+    # equal rows at a cut: one is kept with their number and made into as many rows again, the words given to one after another
+    repeated = F.coalesce(at_cut & (F.col("__copies") > 1), F.lit(False))
+    one = joined.where(repeated).groupBy("__pattern").agg(F.any_value(F.struct("*")).alias("__one")).select("__one.*")
+    blocks = one.withColumn("__block", F.explode(F.expr(f"sequence(0L, (__copies - 1) div {bucket_rows})")))
+    copies = blocks.withColumn("__copy", F.explode(F.sequence(
+        F.col("__block") * bucket_rows, F.least(F.col("__copies"), (F.col("__block") + 1) * bucket_rows) - 1)))
+    given = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__copy") * F.col("__size"))).cast("long")
+    return out.where(~repeated).select(*result, "__taken").unionByName(copies.select(*result, (whole + given).alias("__taken")))
+
+
+def reached(rows: DataFrame, step: Column) -> DataFrame:
+    """Of each pattern the rows of the one ``step`` in which its ``rest`` runs out.
+
+    ``rest`` becomes what is left when that step begins, ``rows`` the number of its rows.
+    """
+    marked = rows.withColumn("step", step)
+    totals = marked.groupBy("__pattern", "rest", "step").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("__pattern").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("words").over(earlier), F.lit(0))
+    hit = totals.withColumn("before", before).where((F.col("rest") > F.col("before")) & (F.col("rest") <= F.col("before") + F.col("words")))
+    found = hit.select("__pattern", "step", (F.col("rest") - F.col("before")).alias("rest"), "rows")
+    return marked.drop("rest", "rows").join(found, ["__pattern", "step"]).drop("step")
 
 
 def shares(documents: DataFrame) -> DataFrame:
@@ -199,8 +223,8 @@ def shares(documents: DataFrame) -> DataFrame:
 
 def drawn(documents: DataFrame) -> DataFrame:
     """``documents`` as the mix takes them: a row for every time a document is taken, in whole or in part, none for the others."""
-    out = mixed(documents, F.array("source"))
+    out = mixed(packed(documents, "doc_id", "source"), F.array("source"))
     times = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size"))).otherwise(F.lit(0)).cast("int")
-    return (out.withColumn("__times", times).where(F.col("__times") > 0)
-            .withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .select(*[F.col(f"`{c}`") for c in documents.columns]))
+    rows = (out.withColumn("__times", times).where(F.col("__times") > 0)
+            .withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))))
+    return unpacked(rows, documents.columns, text=F.col("text"))

@@ -18,7 +18,8 @@ unbounded integers beyond. Scores beyond 64 bits are returned as the nearest 64-
 
 Defined results: a vector that is null, holds a null or a non-finite component, or has
 a null id takes no part; a missing component counts as zero. Rows with the id of a
-query are its own and not its candidates. Repeated rows are candidates of their own.
+query are its own and not its candidates. Repeated rows are candidates of their own,
+and every row asked for is a query of its own: an id asked for twice has two rankings.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def slices(width: int) -> list[slice]:
 def gathered(width: int, kind: str, k: int):
     """Phase 1 of a (block, shard): whole scores of the heads of all score lists."""
     def run(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        q_ids, ids = queries["query_id"].to_numpy(), shard["vec_id"].to_numpy()
+        numbers, q_ids, ids = queries["number"].to_numpy(), queries["query_id"].to_numpy(), shard["vec_id"].to_numpy()
         q, x = matrix(queries["q"], width, kind), matrix(shard["v"], width, kind)
         found, values = [], []
         for lo in range(0, len(q_ids), TILE):
@@ -82,9 +83,9 @@ def gathered(width: int, kind: str, k: int):
                 heads = [others[np.argpartition(part[i, others], len(others) - k)[-k:]] if len(others) > k else others for part in lists]
                 seen = np.unique(np.concatenate(heads))
                 for p in seen[best(whole[i, seen], ids[seen], k)]:
-                    found.append(query)
+                    found.append(numbers[lo + i])
                     values.append(_long(whole[i, p]))
-        return pa.table({"query_id": pa.array(found, pa.int64()), "score": pa.array(values, pa.int64())})
+        return pa.table({"number": pa.array(found, pa.int64()), "score": pa.array(values, pa.int64())})
 
     return run
 
@@ -92,10 +93,10 @@ def gathered(width: int, kind: str, k: int):
 def resolved(width: int, kind: str, k: int):
     """Phases 2 and 3 of a (block, shard): the entries above the uniform threshold, scored whole."""
     def run(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        q_ids, ids = queries["query_id"].to_numpy(), shard["vec_id"].to_numpy()
+        numbers, q_ids, ids = queries["number"].to_numpy(), queries["query_id"].to_numpy(), shard["vec_id"].to_numpy()
         cutoffs = queries["cutoff"].to_pylist()
         q, x = matrix(queries["q"], width, kind), matrix(shard["v"], width, kind)
-        found, partners, values = [], [], []
+        found, asked, partners, values = [], [], [], []
         for lo in range(0, len(q_ids), TILE):
             lists = [q[lo:lo + TILE, s] @ x[:, s].T for s in slices(width)]
             for i, query in enumerate(q_ids[lo:lo + TILE]):
@@ -107,10 +108,12 @@ def resolved(width: int, kind: str, k: int):
                 if cutoff is not None:
                     at, whole = at[whole >= cutoff], whole[whole >= cutoff]
                 for p in best(whole, ids[at], k):
-                    found.append(query)
+                    found.append(numbers[lo + i])
+                    asked.append(query)
                     partners.append(ids[at[p]])
                     values.append(_long(whole[p]))
-        return pa.table({"query_id": pa.array(found, pa.int64()), "vec_id": pa.array(partners, pa.int64()), "score": pa.array(values, pa.int64())})
+        return pa.table({name: pa.array(values_, pa.int64()) for name, values_ in
+                         (("number", found), ("query_id", asked), ("vec_id", partners), ("score", values))})
 
     return run
 
@@ -124,8 +127,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
 
     ``vectors`` and ``queries`` have ``vec_id`` and the integer vector ``v``.
     """
-    vectors = shared_table(vectors, "vectors")
-    queries = shared_table(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
+    number = F.monotonically_increasing_id().alias("number")
+    vectors = shared_table(vectors.select("vec_id", "v", number), "vectors")
+    queries = shared_table(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), number), "queries")
     sizes = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
     asked = queries.agg(F.count(F.lit(1)), F.max(F.size("q")), F.max(F.array_max("q")), F.min(F.array_min("q"))).first()
     width = max(sizes[1] or 0, asked[1] or 0, 1)
@@ -134,21 +138,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
     kind = "double" if bound < 1 << 53 else "long" if bound < 1 << 63 else "big"
     shards, blocks = max(1, -(-sizes[0] // shard_rows)), max(1, -(-asked[0] // query_rows))
 
-    dealt = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"),
+    dealt = vectors.select("vec_id", "v", F.pmod(F.xxhash64("number"), F.lit(shards)).alias("shard"),
                            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col("query_id")), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64(F.lit("block"), F.col("number")), F.lit(blocks)).alias("block")
     shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard")
 
     def paired(asked_: DataFrame, phase, schema: str) -> DataFrame:
         return asked_.groupBy("block", "shard").cogroup(dealt.groupBy("block", "shard")).applyInArrow(phase(width, kind, k), schema)
 
-    heads = paired(queries.select("query_id", "q", block, shard), gathered, "query_id long, score long")
-    falling = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    heads = paired(queries.select("number", "query_id", "q", block, shard), gathered, "number long, score long")
+    falling = Window.partitionBy("number").orderBy(F.desc("score"))
     cutoffs = shared_table(heads.withColumn("place", F.row_number().over(falling)).where(F.col("place") == k)
-                           .select("query_id", F.col("score").alias("cutoff")), "cutoffs")
-    known = queries.join(cutoffs, "query_id", "left")
-    entries = paired(known.select("query_id", "q", "cutoff", block, shard), resolved, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                           .select("number", F.col("score").alias("cutoff")), "cutoffs")
+    known = queries.join(cutoffs, "number", "left")
+    entries = paired(known.select("number", "query_id", "q", "cutoff", block, shard), resolved,
+                     "number long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return (entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

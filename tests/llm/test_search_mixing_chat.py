@@ -48,6 +48,14 @@ def test_search_with_few_or_no_candidates(spark):
     assert topk.neighbours(none).collect() == []
 
 
+def test_rows_that_repeat_a_query_id_are_ranked_alone(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [i / 64, (30 - i) / 64]) for i in range(1, 31)]
+    got = topk.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    up, down = ([(0, n + 1, i, 1024 * 16 * i) for n, i in enumerate(range(30, 20, -1))],
+                [(0, n + 1, i, 1024 * 16 * (30 - i)) for n, i in enumerate(range(1, 11))])
+    assert sorted(map(tuple, got)) == sorted(up + down)
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------
 
 def test_targets_reshare_what_is_above():
@@ -104,6 +112,32 @@ def test_mix_reaches_its_targets_exactly_and_again(spark, edge):
             assert taken[s] == int(t + 0.5)
 
 
+@pytest.mark.parametrize("ids", ["one", "null", "few"])
+@pytest.mark.parametrize("texts", ["equal", "different"])
+def test_mix_of_repeated_ids_stays_within_a_document_of_its_targets(spark, ids, texts):
+    own = {"one": lambda i: 7, "null": lambda i: None, "few": lambda i: i % 3}[ids]
+    rows = [(own(i), " ".join(["w"] * (20 if texts == "equal" else 1 + i % 37)), "ab"[i % 4 == 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for parts in (1, 6):
+        out = mixing.mixed(df.repartition(parts), F.array("source"), bucket_rows=13)
+        assert out.columns == [*df.columns, "__size", "__pattern", "__targets", "__taken"]
+        runs.append(sorted(map(str, out.collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    got = out.collect()
+    assert all(0 <= r["__taken"] <= 3 * r["__size"] for r in got)
+    sizes = {s: sum(r["__size"] for r in got if r["source"] == s) for s in "ab"}
+    for s, t in mixing.target_words(sizes).items():
+        assert sum(r["__taken"] for r in got if r["source"] == s) == int(t + 0.5)
+
+
+def test_drawn_rows_keep_columns_named_like_the_mix(spark):
+    rows = [(i, "a b c", "s", -1, "p", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __pattern string, __place int")
+    got = mixing.drawn(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == set(rows)
+
+
 def test_mix_on_edge_rows(edge, nothing):
     got = mixing.shares(edge).collect()
     assert len(got) == edge.count()
