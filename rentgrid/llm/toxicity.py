@@ -3,7 +3,8 @@
 Terms are the words of a text (runs of letters, ASCII lower case) and the first 4, 5
 and 6 bytes of each, hashed into 2**20 buckets; a document has a term or not. From
 the training sample the terms enter that at least ``MIN_TEXTS`` texts have and whose
-share differs clearly between the labels. The machine adds, to a weight per term, an
+share differs clearly between the labels, and all terms that between a fifth and four
+fifths of the texts have, as these may matter only beside another one. The machine adds, to a weight per term, an
 inner product of factors for every pair of terms in a text, so a pair such as an
 insult and a mention of a group can weigh more than its parts. Pair sums take one
 pass over a text's terms: half of (squared sum - sum of squares).
@@ -32,8 +33,8 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 MIN_TEXTS = 4
-#: The bound on the terms that have parameters.
-MOST_TERMS = 1 << 14
+#: Terms with a share of the texts from this to its complement enter whatever their labels.
+COMMON_SHARE = 0.2
 
 
 def terms(texts: list) -> list[np.ndarray]:
@@ -101,11 +102,11 @@ class FactorizationMachine:
                 self.factors -= rate * factors / np.sqrt(past[2])
 
 
-def telling_terms(sample: DataFrame, least: int = MIN_TEXTS, z: float = 5.0, most: int = MOST_TERMS) -> np.ndarray:
-    """Terms of at least ``least`` texts whose share among the labels differs by over ``z`` standard errors.
+def telling_terms(sample: DataFrame, least: int = MIN_TEXTS, z: float = 5.0, common: float = COMMON_SHARE) -> np.ndarray:
+    """Terms of at least ``least`` texts whose share among the labels differs by over ``z`` standard errors, and the common ones.
 
     ``sample`` has ``label`` and ``terms``. The counts are made in the tasks; the
-    ``most`` most telling terms come back.
+    chosen terms, no more than ``BUCKETS``, come back.
     """
     def rows(batches):
         for batch in batches:
@@ -122,7 +123,7 @@ def telling_terms(sample: DataFrame, least: int = MIN_TEXTS, z: float = 5.0, mos
     share = F.col("n") / F.lit(ones + zeros)
     error = F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / zeros))
     score = F.abs(F.col("a") / F.lit(ones) - (F.col("n") - F.col("a")) / F.lit(zeros)) / error
-    chosen = counts.select("term", score.alias("z")).where(F.col("z") > z).orderBy(F.desc("z"), "term").limit(most)
+    chosen = counts.where((score > z) | share.between(common, 1 - common)).select("term")
     return np.sort(np.array([r["term"] for r in chosen.collect()], np.int64))
 
 
@@ -130,7 +131,7 @@ def fitted(documents: DataFrame, labels: DataFrame, text: str = "text", label: s
            modulus: int = 4, remainder: int = 2) -> FactorizationMachine:
     """The machine learned from a bounded sample of the labelled rows that are not held out.
 
-    Only the telling terms of the sampled texts reach the driver.
+    Only the chosen terms of the sampled texts reach the driver.
     """
     drawn = labelled_sample(documents.select("doc_id", text), labels, "doc_id", label, modulus, remainder, rows, "toxic")
 

@@ -77,6 +77,21 @@ def test_factors_learn_pairs_that_weights_cannot():
     assert ((machine.score(found) > 0.5) == (np.array(y) == 1)).mean() > 0.95
 
 
+def test_fitted_machine_learns_labels_of_pairs_alone(spark):
+    draw = np.random.default_rng(5)
+    filler = ["walk", "stone", "river", "cloud", "bread", "lamp", "north", "paper", "glass", "green"]
+    rows, marks = [], []
+    for i in range(1500):
+        insult, group = draw.integers(2, size=2)
+        words = [*draw.choice(filler, 6), "dreadful" if insult else "pleasant", "zorblaks" if group else "neighbours"]
+        draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(insult == group)))
+    documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = held_out_scores(toxicity.scored(documents, labels), labels, "toxic")
+    assert ((found["score"] > 0.5) == (found["toxic"] == 1)).mean() > 0.95
+
+
 def test_language_on_rows_held_out(sample):
     out = language.languages(sample[0]).join(sample[0].select("doc_id", "lang"), "doc_id").toPandas()
     ho = out[out["held_out"]]
