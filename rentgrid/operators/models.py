@@ -359,13 +359,22 @@ def hedonic_oof(df: DataFrame, id_column: str, numeric: Sequence[str], categoric
     return OutOfFold(out, [1] * k, {f"alpha_{j}": a for j, a in enumerate(chosen)})
 
 
+#: Times a Newton step is halved before the search ends.
+HALVINGS = 30
+
+
 def logit_cluster(df: DataFrame, features: Mapping[str, Column], y: Column, cluster: str, level: float = 0.95,
                   steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
     """Logit with cluster-robust covariance: odds ratios, intervals, p and pseudo R squared.
 
     Newton steps, each one pass that sums gradient and Hessian; the meat sums the
     scores per cluster first, so a large cluster is combined before it is shuffled.
-    Rows with a missing feature are left out.
+    A step that lowers the likelihood is halved. Rows with a missing feature are left out.
+
+    ``converged`` is false where the steps ran out or none raised the likelihood;
+    ``separated`` is true where every row of both outcomes is told apart, so that no
+    finite estimate exists and coefficients and errors mean nothing. Rows of only one
+    outcome raise an error. Repeated or constant features share their effect.
     """
     names = ["const", *features]
     table = df.select(F.col(cluster).alias("_g"), y.cast("double").alias("_y"), F.lit(1.0).alias("f0"),
@@ -373,39 +382,58 @@ def logit_cluster(df: DataFrame, features: Mapping[str, Column], y: Column, clus
     table = cut_lineage(table)
     columns = [F.col(f"f{i}") for i in range(len(names))]
     beta = np.zeros(len(names))
+    n, groups, prevalence = table.agg(F.count(F.lit(1)), F.count_distinct("_g"), F.avg("_y")).first()
+    if not n or prevalence in (0.0, 1.0):
+        raise ValueError("a logit needs rows of both outcomes")
 
     def linear(b: np.ndarray) -> Column:
         return reduce(lambda a, c: a + c, [F.lit(float(v)) * x for v, x in zip(b, columns)])
 
+    def likelihood(b: np.ndarray) -> float:
+        t = linear(b)                                          # log(1 + exp(t)) without overflow
+        return table.agg(F.sum(F.col("_y") * t - F.greatest(t, F.lit(0.0)) - F.log1p(F.exp(-F.abs(t))))).first()[0]
+
+    loglik, converged = likelihood(beta), False
     for _ in range(steps):
         p = 1 / (1 + F.exp(-linear(beta)))
         hessian = gram(table, columns, weight=p * (1 - p))[0]
         row = table.agg(*[F.sum((F.col("_y") - p) * x).alias(f"s{i}") for i, x in enumerate(columns)]).first()
         gradient = np.array([row[f"s{i}"] for i in range(len(names))])
-        move = np.linalg.solve(hessian, gradient)
-        beta = beta + move
-        if np.max(np.abs(move)) < tolerance:
+        move = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        if np.max(np.abs(move)) < tolerance * max(1.0, np.max(np.abs(beta))):
+            beta, converged = beta + move, True
+            break
+        # the step is halved while it lowers the likelihood (by more than rounding)
+        for half in range(HALVINGS):
+            tried = likelihood(beta + move / 2 ** half)
+            if tried >= loglik - 1e-12 * abs(loglik):
+                break
+        else:
             break
+        beta, loglik = beta + move / 2 ** half, tried
+    if converged:
+        loglik = likelihood(beta)
+    # separated outcomes: a direction in which every row of both outcomes is told right, so odds grow without end
+    margin = F.when(F.col("_y") > 0, linear(beta)).otherwise(-linear(beta))
+    separated = not converged and table.agg(F.min(margin)).first()[0] > 0
     p = 1 / (1 + F.exp(-linear(beta)))
     hessian = gram(table, columns, weight=p * (1 - p))[0]
     scores = table.groupBy("_g").agg(*[F.sum((F.col("_y") - p) * x).alias(f"s{i}") for i, x in enumerate(columns)])
     meat = gram(scores, [F.col(f"s{i}") for i in range(len(names))])[0]
-    n, groups, prevalence, loglik = table.agg(
-        F.count(F.lit(1)), F.count_distinct("_g"), F.avg("_y"),
-        F.sum(F.col("_y") * linear(beta) - F.log1p(F.exp(linear(beta))))).first()
-    bread = np.linalg.inv(hessian)
+    bread = np.linalg.pinv(hessian, hermitian=True)
     k = len(names)
-    covariance = bread @ meat @ bread * (groups / (groups - 1)) * ((n - 1) / (n - k))
+    covariance = bread @ meat @ bread * (groups / max(groups - 1, 1)) * ((n - 1) / max(n - k, 1))
     null = n * (prevalence * math.log(prevalence) + (1 - prevalence) * math.log(1 - prevalence))
     z = NormalDist().inv_cdf(0.5 + level / 2)
     rows = []
     for name, b, v in zip(names, beta, np.diag(covariance)):
-        se = math.sqrt(v)
-        rows.append((name, float(b), se, math.exp(b), math.exp(b - z * se), math.exp(b + z * se),
-                     math.erfc(abs(b / se) / math.sqrt(2)), int(n), int(groups), float(1 - loglik / null)))
+        se = math.sqrt(max(v, 0.0))
+        low, mid, high = (math.exp(min(700.0, x)) for x in (b - z * se, b, b + z * se))
+        tail = math.erfc(abs(b / se) / math.sqrt(2)) if se else None
+        rows.append((name, float(b), se, mid, low, high, tail, int(n), int(groups), float(1 - loglik / null), converged, separated))
     return df.sparkSession.createDataFrame(
         rows, "term string, coef double, se double, odds_ratio double, ci_low double, ci_high double, "
-              "p double, n long, clusters long, pseudo_r2 double")
+              "p double, n long, clusters long, pseudo_r2 double, converged boolean, separated boolean")
 
 
 # --- protocols ---------------------------------------------------------------------------

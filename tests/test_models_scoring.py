@@ -73,6 +73,28 @@ def test_cluster_robust_logit(table):
     g, n, k = len(s), len(x), 2
     cov = bread @ s.T @ s @ bread * g / (g - 1) * (n - 1) / (n - k)
     assert got["coef"].to_numpy() == pytest.approx(b) and got["se"].to_numpy() == pytest.approx(np.sqrt(np.diag(cov)))
+    assert got["converged"].all() and not got["separated"].any()
+
+
+def test_logit_says_when_outcomes_are_separated(spark):
+    rows = [(i % 5, float(i), float(i >= 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, a double, y double")
+    got = M.logit_cluster(df, {"a": F.col("a")}, F.col("y"), "g").collect()
+    assert all(r["separated"] and not r["converged"] for r in got)
+    with pytest.raises(ValueError, match="both outcomes"):
+        M.logit_cluster(df.where("a >= 20"), {"a": F.col("a")}, F.col("y"), "g")
+
+
+def test_stiff_logit_halves_its_steps_and_converges(spark):
+    """Far rows make the plain Newton step overshoot; at the estimate the scores sum to zero."""
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.normal(size=200), rng.normal(size=8) * 300])
+    y = (rng.random(len(a)) < 1 / (1 + np.exp(-np.clip(0.03 * a + 2, -30, 30)))).astype(float)
+    df = spark.createDataFrame([(i % 7, float(x), float(v)) for i, (x, v) in enumerate(zip(a, y))], "g int, a double, y double")
+    got = M.logit_cluster(df, {"a": F.col("a"), "again": F.col("a")}, F.col("y"), "g").toPandas().set_index("term")
+    assert got["converged"].all() and got.loc["a", "coef"] == pytest.approx(got.loc["again", "coef"])
+    p = 1 / (1 + np.exp(-(got.loc["const", "coef"] + 2 * got.loc["a", "coef"] * a)))
+    assert abs((y - p).sum()) < 1e-6 and abs(((y - p) * a).sum()) < 1e-4
 
 
 def test_contributions_add_up_to_the_prediction(spark):
