@@ -107,3 +107,13 @@ def test_hash_sample_is_stable(spark):
     df = spark.range(1000)
     want = {r[0] for r in hash_sample(df.repartition(1), "id", 20).collect()}
     assert len(want) == 20 and want == {r[0] for r in hash_sample(df.repartition(7), "id", 20).collect()}
+
+
+def test_every_rule_fires_on_the_given_tables(spark):
+    from rentgrid.plans import listings as L
+    report = L.listing_cascade(spark, "/root/testdata/sf0.01").groupBy("codigo").agg(
+        F.sum("casam").alias("m"), F.sum("cascata").alias("a")).collect()
+    assert len(report) == 12 and all(r["m"] >= r["a"] > 0 for r in report)
+    # a row of the second snapshot only: the quote rule does not apply before it
+    early = L.listing_quarantine(spark, "/root/testdata/sf0.01").where("regra = 'P03'")
+    assert [r[0] for r in early.select("snapshot").distinct().collect()] == [L.SECOND]
