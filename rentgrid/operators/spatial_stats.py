@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentgrid.operators.ranks import global_index
@@ -14,6 +16,8 @@ from rentgrid.operators.stats import bh_reject
 from rentgrid.session import cut_lineage
 
 SEED = 42
+#: Rounds of a keyed permutation, and how often a place beyond the last goes through them again.
+ROUNDS, WALKS = 6, 30
 # --- fixed values: cluster labels ----------------------------------------------
 QUADRANTS = {1: "Alto-Alto", 2: "Baixo-Alto", 3: "Baixo-Baixo", 4: "Alto-Baixo"}
 NOT_SIGNIFICANT = "não significativo"
@@ -58,17 +62,59 @@ def _moran(filled: DataFrame, edges: DataFrame, z: DataFrame, cell: str) -> Data
                        (-1.0 / (F.col("n_cells") - 1)).alias("expected"))
 
 
+def permuted_places(df: DataFrame, idx: str, perm: str, n: int, seed: int = SEED, name: str = "at") -> DataFrame:
+    """Add the place of ``idx`` (0 to n - 1) in permutation ``perm``: every place is taken once.
+
+    The index is a pair of digits, and each round shifts one digit by a hash of the
+    other, which can be undone, so the whole is a bijection of ``high * low >= n``
+    pairs. A place beyond n goes through the rounds again until it falls below n.
+    At most ``high * low - n`` places lie beyond, so small tables are sure to end within
+    ``WALKS``; in larger ones a walk goes on with a chance of under 1/30 each time,
+    and one that did not end would raise an error, not give a wrong place.
+    """
+    high = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    low = max(1, -(-n // high))
+
+    def shift(digit: Column, other: Column, step: int, base: int) -> Column:
+        return F.pmod(digit + F.pmod(F.xxhash64(other, F.col(perm), F.lit(step), F.lit(seed)), F.lit(base)), F.lit(base))
+
+    def digits(x: Column) -> tuple[Column, Column]:
+        return F.floor(x / F.lit(low)).cast("long"), x % low
+
+    def shuffled(x: Column) -> Column:
+        first, second = digits(x)
+        for step in range(ROUNDS):
+            if step % 2:
+                second = shift(second, first, step, low)
+            else:
+                first = shift(first, second, step, high)
+        return first * low + second
+
+    first, second = digits(F.col(idx))
+    out = df.withColumns({"_first": first, "_second": second})
+    for step in range(ROUNDS):                                    # a column per round, so that none is computed twice
+        out = (out.withColumn("_second", shift(F.col("_second"), F.col("_first"), step, low)) if step % 2
+               else out.withColumn("_first", shift(F.col("_first"), F.col("_second"), step, high)))
+    out = out.withColumn("_once", F.col("_first") * low + F.col("_second"))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("_once"),
+                        lambda at, _: F.when(at < n, at).otherwise(shuffled(at)))
+    out = out.withColumn("_walked", F.when(F.col("_once") < n, F.col("_once")).otherwise(again))
+    lost = F.raise_error(F.lit("a permuted place was not found")).cast("long")
+    return out.withColumn(name, F.when(F.col("_walked") < n, F.col("_walked")).otherwise(lost)).drop(
+        "_first", "_second", "_once", "_walked")
+
+
 def moran_permutations(edges: DataFrame, z: DataFrame, cell: str, permutations: int = 999, seed: int = SEED) -> DataFrame:
     """``(perm, I)`` under random relabelling.
 
-    Every permutation orders the values by a hash of cell, permutation and seed and
-    hands the i-th one to the i-th cell, so the draw is the same on any cluster.
-    Tasks share the permutations among them.
+    Cells are numbered once; a keyed permutation of these numbers says which cell gets
+    the value of which, so nothing is ordered per permutation and the draw is the
+    same on any cluster. Tasks share the permutations among them.
     """
-    placed = global_index(z, F.xxhash64(F.col(cell), F.lit(seed))).select(cell, "z", "idx")
-    perms = F.sequence(F.lit(0), F.lit(permutations - 1))
-    drawn = placed.select(cell, "z", F.explode(perms).alias("perm")).select("perm", "z", (F.row_number().over(
-        Window.partitionBy("perm").orderBy(F.xxhash64(F.col(cell), F.col("perm"), F.lit(seed)), F.col(cell))) - 1).alias("at"))
+    placed = cut_lineage(global_index(z, F.xxhash64(F.col(cell), F.lit(seed))).select(cell, "z", "idx"))
+    n = placed.count()
+    copies = placed.select("z", "idx", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
+    drawn = permuted_places(copies, "idx", "perm", n, seed).select("perm", "z", "at")
     # neighbours by place: the edges carry the index of both ends
     place = placed.select(F.col(cell).alias("c"), "idx")
     numbered = (edges.join(place.select(F.col("c").alias("src"), F.col("idx").alias("i")), "src")

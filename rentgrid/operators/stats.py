@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.functions import tails
 from rentgrid.operators.panel import weighted_ranks
-from rentgrid.operators.ranks import medians, quantiles, running_totals, splitters
+from rentgrid.operators.ranks import medians, quantiles, running_totals, splitters, with_bucket
 from rentgrid.operators.skew import attach_per_key, one_row
+from rentgrid.session import cut_lineage
 
-MAX_GROUPS = 64
+#: Groups that one task of a pairwise test compares with all others.
+SLICE = 256
+#: Numbers in one table of values by groups inside such a task.
+CHUNK_CELLS = 2_000_000
 
 
 def chi2_tail(x: Column, dof: Column) -> Column:
@@ -49,53 +54,84 @@ def kruskal(df: DataFrame, value: str, group: str, p_value: bool = True) -> Data
     return out.withColumn("p", chi2_tail(F.col("H"), F.col("k") - 1)) if p_value else out
 
 
-def group_names(df: DataFrame, group: str, limit: int = MAX_GROUPS) -> list:
-    """The distinct groups of a pairwise test; its result is quadratic in them, so they are few."""
-    found = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct()
-             .limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"pairwise tests need at most {limit} groups of {group!r}")
-    return sorted(found)
+def _pair_sums(key: tuple, entries: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """U and tie products of one bucket of values, for the groups ``mine`` against all later ones.
+
+    ``starts`` holds, for every group, its rows below the bucket. Values are taken in
+    chunks, so that the tables of values by groups stay within ``CHUNK_CELLS`` numbers.
+    """
+    del key
+    if not len(entries) or not entries["mine"].any():
+        return pd.DataFrame()
+    starts, entries = starts.sort_values("name"), entries.sort_values("v", kind="stable")
+    groups = pd.Index(starts["name"], dtype=object)
+    place = groups.get_indexer(entries["g"])
+    at = np.unique(entries["v"].to_numpy(), return_inverse=True)[1]
+    weight = entries["w"].to_numpy(dtype=float)
+    mine = np.unique(place[entries["mine"].to_numpy(dtype=bool)])
+    below = starts["before"].to_numpy(dtype=float)
+    u, t = np.zeros((len(mine), len(groups))), np.zeros((len(mine), len(groups)))
+    step = max(1, CHUNK_CELLS // len(groups))
+    for low in range(0, int(at[-1]) + 1, step):
+        first, last = np.searchsorted(at, [low, low + step])
+        counts = np.zeros((int(at[last - 1]) - low + 1, len(groups)))
+        counts[at[first:last] - low, place[first:last]] = weight[first:last]
+        own = counts[:, mine].T
+        # rows of equal value count by half; the running total has them whole
+        u += own @ (below + np.cumsum(counts, axis=0) - counts / 2)
+        t += (own * own) @ counts + own @ (counts * counts)
+        below = below + counts.sum(axis=0)
+    row, col = np.nonzero(np.arange(len(groups)) > mine[:, None])
+    if not len(row):
+        return pd.DataFrame()
+    return pd.DataFrame({"a": groups.take(mine[row]), "b": groups.take(col), "U": u[row, col], "t": t[row, col]})
 
 
 def mann_whitney_pairs(df: DataFrame, value: str, group: str, p_value: bool = True) -> DataFrame:
     """U, rank-biserial correlation, medians and Holm-adjusted p for every pair of groups.
 
-    No row is copied per pair: one table of counts per value and group, with running
-    totals per group, holds every U statistic.
+    Any number of groups: rows are counted per value and group, values are dealt into
+    buckets, and a task takes one bucket and ``SLICE`` groups against all others,
+    starting from the running totals of every group below the bucket. No row is
+    copied per pair and no group becomes a column; the result has a row per pair.
+    NULL and NaN values and NULL groups take no part. Fewer than two groups: no rows.
+    Two groups that together hold one value only have no z, and a p of 1.
     """
-    names = group_names(df, group)
     rows = df.select(F.col(value).cast("double").alias("v"), F.col(group).alias("g")).dropna()
-    counts = rows.groupBy("v").agg(*[F.count_if(F.col("g") == g).alias(f"c{i}") for i, g in enumerate(names)])
-    weights = [f"c{i}" for i in range(len(names))]
-    running = running_totals(counts, [], "v", weights, splitters(rows, "v"))
-    # one row per value and group present at it; the sums over b are columns
-    present = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(w).cast("double").alias("c"))
-                                 for i, w in enumerate(weights)]), lambda x: x["c"] > 0)
-    c = F.col("x.c")
-    sums = running.withColumn("x", F.explode(present)).groupBy(F.col("x.i").alias("i")).agg(
-        F.sum(c).alias("n"), F.sum(c * c * c - c).alias("own"),
-        *[F.sum(c * (F.col(f"{w}_before") + F.col(w) / 2.0)).alias(f"u{j}") for j, w in enumerate(weights)],
-        *[F.sum(c * c * F.col(w)).alias(f"t{j}") for j, w in enumerate(weights)])
-    cells = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"u{j}").alias("U"), F.col(f"t{j}").alias("t"))
-                      for j in range(len(names))])
-    square = sums.select("i", "n", "own", F.explode(cells).alias("r")).select("i", "n", "own", "r.*")
-    upper = square.where("i < j").select("i", "j", "U", F.col("n").alias("n_a"), F.col("own").alias("own_a"),
-                                         F.col("t").alias("t_ab"))
-    lower = square.where("i > j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("n").alias("n_b"),
-                                         F.col("own").alias("own_b"), F.col("t").alias("t_ba"))
-    labels = F.array(*[F.lit(g) for g in names])
-    # (a+b)^3 - (a+b) summed over values, from the four products above
-    tests = upper.join(lower, ["i", "j"]).select(
-        labels[F.col("i")].alias("a"), labels[F.col("j")].alias("b"), "n_a", "n_b", "U",
-        (F.col("own_a") + F.col("own_b") + 3 * (F.col("t_ab") + F.col("t_ba"))).alias("ties"))
+    splits = splitters(rows, "v")
+    counts = cut_lineage(with_bucket(rows.groupBy("v", "g").agg(F.count(F.lit(1)).alias("w")), "v", splits, "bucket"))
+    w = F.col("w").cast("double")
+    per_group = counts.groupBy("g").agg(F.sum(w).alias("n"), F.sum(w * w * w - w).alias("own"))
+    per_group = cut_lineage(per_group)
+    slices = max(1, -(-per_group.count() // SLICE))
+    each = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    entries = counts.select("bucket", "v", "g", "w", each.alias("slice")).withColumn(
+        "mine", F.pmod(F.xxhash64("g"), F.lit(slices)) == F.col("slice"))
+    # every group has a total below every bucket, also where it has no value in it
+    places = per_group.select("g", F.explode(F.sequence(F.lit(0), F.lit(max(1, len(splits))))).alias("bucket"))
+    totals = counts.groupBy("g", "bucket").agg(F.sum("w").alias("w"))
+    below = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = places.join(totals, ["g", "bucket"], "left").select(
+        F.col("g").alias("name"), F.col("bucket").alias("at"), F.coalesce(F.sum("w").over(below), F.lit(0)).alias("before")).select(
+            "name", "at", "before", each.alias("part"))
+    kind = rows.schema["g"].dataType.simpleString()
+    parts = entries.groupBy("bucket", "slice").cogroup(starts.groupBy("at", "part")).applyInPandas(
+        _pair_sums, f"a {kind}, b {kind}, U double, t double")
+    pairs = parts.groupBy("a", "b").agg(F.sum("U").alias("U"), F.sum("t").alias("t"))
     middle = medians(rows, ["g"], {"m": F.col("v")})
-    tests = (tests.join(middle.select(F.col("g").alias("a"), F.col("m").alias("median_a")), "a", "left")
-             .join(middle.select(F.col("g").alias("b"), F.col("m").alias("median_b")), "b", "left"))
+    known = per_group.join(middle, "g")
+
+    def side(name: str) -> DataFrame:
+        return known.select(F.col("g").alias(name), F.col("n").alias(f"n_{name}"), F.col("own").alias(f"own_{name}"),
+                            F.col("m").alias(f"median_{name}"))
+
+    tests = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.col("n_a"), F.col("n_b")
     n = na + nb
-    spread = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(F.col("U"), na * nb - F.col("U")) - na * nb / 2 - 0.5) / spread
+    # (a+b)^3 - (a+b) summed over values
+    ties = F.col("own_a") + F.col("own_b") + 3 * F.col("t")
+    spread = F.sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1))))
+    z = F.when(spread > 0, (F.greatest(F.col("U"), na * nb - F.col("U")) - na * nb / 2 - 0.5) / F.nullif(spread, F.lit(0.0)))
     tests = tests.select("a", "b", "U", (2 * F.col("U") / (na * nb) - 1).alias("rank_biserial"),
                          "median_a", "median_b", z.alias("z"))
     if not p_value:

@@ -163,3 +163,34 @@ def test_class_metrics(spark):
     pos, neg = p[y == 1], p[y == 0]
     auc = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
     assert row["auc"] == pytest.approx(auc)
+
+
+def test_pairs_of_many_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(g), float(v)) for g in range(500) for v in rng.integers(0, 40, 4)]
+    rows += [(0, float(v)) for v in rng.integers(0, 40, 700)]            # a group with a third of all rows
+    df = spark.createDataFrame(rows + [(None, 1.0), (3, None), (3, float("nan"))], "g int, v double")
+    got = {(r["a"], r["b"]): r for r in stats.mann_whitney_pairs(df, "v", "g", p_value=False).collect()}
+    assert len(got) == 500 * 499 // 2
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    for a, b in [(0, 1), (0, 499), (255, 256), (17, 300), (498, 499)]:
+        x, y = np.array(by[a]), np.array(by[b])
+        u = (x[:, None] > y).sum() + (x[:, None] == y).sum() / 2
+        c = np.unique(np.concatenate([x, y]), return_counts=True)[1].astype(float)
+        n = len(x) + len(y)
+        spread = np.sqrt(len(x) * len(y) / 12 * (n + 1 - (c**3 - c).sum() / (n * (n - 1))))
+        row = got[a, b]
+        assert row["U"] == u and row["median_a"] == np.median(x) and row["median_b"] == np.median(y)
+        assert row["z"] == pytest.approx((max(u, len(x) * len(y) - u) - len(x) * len(y) / 2 - 0.5) / spread)
+
+
+def test_pairs_without_pairs(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert stats.mann_whitney_pairs(empty, "v", "g").count() == 0
+    one = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, v double")
+    assert stats.mann_whitney_pairs(one, "v", "g").count() == 0
+    tied = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, v double")
+    row = stats.mann_whitney_pairs(tied, "v", "g").first()
+    assert row["U"] == 0.5 and row["z"] is None and row["p"] == row["p_holm"] == 1.0

@@ -187,3 +187,34 @@ def test_cells_stay_unique(spark):
         C.build_cells(base, "cell", [(twice, {"v": "double"})])
     out = C.build_cells(base, "cell", [(None, {"v": "double"})])
     assert out.columns == ["cell", "v"] and out.where("v IS NULL").count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 30, 1000, 1601])
+def test_permuted_places_are_taken_once(spark, n):
+    from rentgrid.operators.spatial_stats import permuted_places
+    copies = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("perm"), "id")
+    drawn = permuted_places(copies, "id", "perm", n)
+    places = {}
+    for perm, idx, at in drawn.collect():
+        places.setdefault(perm, {})[idx] = at
+    assert all(sorted(p.values()) == list(range(n)) for p in places.values())
+    if n >= 30:
+        assert len({tuple(p[i] for i in range(n)) for p in places.values()}) == 5
+
+
+def test_permuted_places_are_even(spark):
+    from rentgrid.operators.spatial_stats import permuted_places
+    copies = spark.range(12).select("id", F.explode(F.sequence(F.lit(0), F.lit(2999))).alias("perm"))
+    hits = permuted_places(copies, "id", "perm", 12).groupBy("id", "at").count()
+    chi = hits.agg(F.sum(F.pow(F.col("count") - 250, 2) / 250).alias("x")).first()["x"]
+    assert hits.count() == 144 and chi < 190                     # 121 degrees of freedom, p of 0.0001
+
+
+def test_permutations_order_nothing(spark):
+    from rentgrid.operators import spatial_stats as M
+    z = spark.range(60).select(F.col("id").alias("cell"), (F.col("id") % 7 - 3.0).alias("z"))
+    edges = spark.range(60).select(F.col("id").alias("src"), ((F.col("id") + 1) % 60).alias("dst"), F.lit(1.0).alias("w"))
+    drawn = M.moran_permutations(edges, z, "cell", 99)
+    assert "Window" not in drawn._jdf.queryExecution().toString()
+    values = [r["I"] for r in drawn.collect()]
+    assert len(values) == 99 and abs(sum(values) / 99 + 1 / 59) < 0.05
