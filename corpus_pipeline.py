@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each a table that the next one reads.
 
 1. ``language_id``: documents whose language cannot be told go.
-2. ``simhash``: of documents whose five-word shingles are alike to 4/5 or more, one stays (``nearcopies``).
+2. ``simhash``: of documents whose five-word shingles are alike to 4/5 or more, one stays (fingerprints and their
+   Gray-order index first, then what they leave apart, ``nearcopies``).
 3. ``substring_dedup``: passages of 50 words or more that an earlier document has are cut out.
 4. ``mixing``: documents are drawn to the sources' target weights, a row for every time one is taken.
 5. ``bpe``: the ids of every drawn text, with the digests of its round trip.

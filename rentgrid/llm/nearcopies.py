@@ -1,15 +1,17 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least 4/5.
 
-Candidates share a band of their MinHash signatures: 40 bands of 5 hashes each, so a
-pair at just 4/5 is missed with a chance of 1.3e-7 and one farther above with less, at
-any number of documents; documents that share a passage but little else do not meet. Every
-candidate pair is compared shingle by shingle in a task, so nothing below 4/5 is linked.
-
-Documents with equal shingle sets are one node. In a bucket all nodes are first compared with one of
-them, then, where they are not in one group yet, with another one, for a few rounds,
-and in the end every pair of different groups is compared. So a group of true copies costs
-about one comparison a document and band, whatever its size. A text is sent once
-for each document it is compared with, the text of that one once a task.
+Documents with equal shingle sets are one node. Nodes get a SimHash fingerprint of their shingles, and the
+Gray-order index of ``simhash`` links those within a few bits; these links come first. Nodes at just 4/5 differ in
+about ten bits, beyond any index of 64 bits, so what fingerprints leave apart is completed: nodes that share a
+band of their MinHash signatures (40 bands of 5 hashes, a pair at just 4/5 is missed with a chance of 1.3e-7)
+are compared with one node of their bucket, then, where they are not in one group yet, with another one, for a few rounds.
+What is still open then is settled by prefixes: shingles are ordered by how many open nodes have them, rare
+ones first, and alike nodes share one among their first fifth. So a group of true copies costs
+about one comparison a document and band, whatever its size, and documents that share a passage or a template
+but each have words of their own do not meet one by one.
+
+Every candidate pair, however found, is compared shingle by shingle in a task, so nothing below 4/5 is linked. A text
+is sent once for each document it is compared with, the text of that one once a task.
 
 Defined results: words are split and lowered as in ``simhash``; a null text has no
 words; texts without words are copies of one another; a text shorter than a shingle is
@@ -19,16 +21,18 @@ id stays (then the smallest row hash). Rows without an id stay. Columns may have
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentgrid.llm.common import per_document, text_batches
 from rentgrid.llm.components import component_roots
+from rentgrid.llm.simhash import fingerprint_links
 from rentgrid.llm.words import mixed
 from rentgrid.session import drop_table, shared_table
 
@@ -60,6 +64,14 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends[min(words, len(split)) - 1:].tolist())], np.uint64))
 
 
+def majority_bits(hashes: np.ndarray, at_once: int = 4096) -> int:
+    """The SimHash fingerprint of a set of hashes: the bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), at_once):
+        counts += np.unpackbits(hashes[i:i + at_once].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(np.int64)[0])
+
+
 def shingle_set(text: str, words: int = WORDS) -> frozenset:
     split = text.encode("utf-8", "surrogatepass").lower().split()
     return frozenset(b" ".join(split[i:i + words]) for i in range(max(1, len(split) - words + 1))) if split else frozenset()
@@ -128,6 +140,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[
     return rows.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_pairs(nodes: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
+    """``(a, b)``: nodes (``node, size, fp``) that connect the groups of the fingerprint index, one pair or a few a node."""
+    heads = shared_table(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("r")).select("fp", "r.node", "r.size"), "heads")
+    second = heads.select("fp", F.col("node").alias("node2"), F.col("size").alias("size2"))
+    same = nodes.select("fp", "node", "size").join(second, "fp").where("node <> node2")
+    near = shared_table(fingerprint_links(heads.select("fp")).distinct(), "near-prints")
+    across = near.join(heads.withColumnRenamed("fp", "a"), "a").join(second.withColumnRenamed("fp", "b"), "b")
+    columns = ["node", "size", "node2", "size2"]
+    return in_order(same.select(columns).unionByName(across.select(columns)).where(alike("size", "size2")))
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def prefix_places(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """``node, size, bucket, place``: the shingles by which nodes (``node, text``) that are alike must meet.
+
+    Shingles stand in the order of how many of the nodes have them, so those of one node alone come first; they fill places
+    but are not returned. Two alike nodes share one of the first places, up to the part that may differ.
+    """
+    num, den = similarity
+
+    def columns(batch):
+        found = [shingle_hashes(t, words) for t in batch]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return {"size": pa.array([len(h) for h in found], pa.int32()),
+                "shingles": pa.ListArray.from_arrays(offsets, np.concatenate(found).view(np.int64))}
+
+    sets = shared_table(per_document(texts, ["node"], "text", "size int, shingles array<long>", columns, HELD_BYTES), "open-sets")
+    tall = sets.select("node", "size", F.explode("shingles").alias("bucket"))
+    several = tall.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = tall.join(several, "bucket")
+    own = Window.partitionBy("node")
+    placed = common.withColumn("place", F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "bucket")) - 1)
+    return placed.where(F.col("place") <= F.col("size") - F.ceil(num * F.col("size") / F.lit(den))).select("node", "size", "bucket", "place")
+
+
 def near_copies(rows: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(marked, nodes, roots)`` of ``rows (doc_id, h, text)``.
 
@@ -143,59 +193,71 @@ def near_copies(rows: DataFrame, words: int = WORDS, similarity: tuple[int, int]
         found = [shingle_hashes(t, words) for t in texts]
         keys = np.concatenate([band_keys(h) for h in found]).view(np.int64)
         return {"shingles": pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
-                "size": pa.array([len(h) for h in found], pa.int32()),
+                "size": pa.array([len(h) for h in found], pa.int32()), "fp": pa.array([majority_bits(h) for h in found], pa.int64()),
                 "bands": pa.FixedSizeListArray.from_arrays(pa.array(keys), BANDS).cast(pa.list_(pa.int64()))}
 
-    marked = shared_table(per_document(rows, ["doc_id", "h"], "text", "shingles binary, size int, bands array<long>", columns, HELD_BYTES), "marked")
+    marked = shared_table(per_document(rows, ["doc_id", "h"], "text", "shingles binary, size int, fp long, bands array<long>", columns, HELD_BYTES), "marked")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")
-    nodes = shared_table(marked.groupBy("shingles").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.min("h").alias("h"), first)
+    one = [F.any_value(c).alias(c) for c in ("size", "fp", "bands")]
+    nodes = shared_table(marked.groupBy("shingles").agg(*one, F.min("h").alias("h"), first)
                          .drop("shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     met = shared_table(spread.join(several, "bucket"), "met")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = shared_table(nodes.select("node", F.col("h").alias("key")).join(needed, "node", "left_semi"), "wanted")
-        texts = shared_table(rows.join(listed(keys), rows["h"] == keys["key"]).select("node", "text").dropDuplicates(["node"]), "texts")
-        out = shared_table(confirmed(pairs, texts, words, similarity), "copies")
-        drop_table(texts)
-        return out
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        keys = shared_table(nodes.select("node", F.col("h").alias("key")).join(wanted, "node", "left_semi"), "wanted")
+        return shared_table(rows.join(listed(keys), rows["h"] == keys["key"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def alike(a: str, b: str) -> Column:
         return den * F.least(a, b) >= num * F.greatest(a, b)
 
-    links, done, roots = [], [], None
-    for turn in range(rounds + 1):
-        open_ = met
-        if roots is not None:
-            rooted = met.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn(
-                "root", F.coalesce("root", "node"))
-            split = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-            open_ = shared_table(rooted.join(split, "bucket"), "open")
-        if open_.first() is None:
-            break
-        other = F.col("root") != F.col("root2") if roots is not None else F.lit(True)
-        kept = ["node", "size"] + (["root"] if roots is not None else [])
-        if turn < rounds:
-            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), *kept)
-            chosen = open_.groupBy("bucket").agg(F.min(order).alias("r")).select("bucket", *[F.col(f"r.{c}").alias(f"{c}2") for c in kept])
-        else:
-            chosen = open_.select("bucket", *[F.col(c).alias(f"{c}2") for c in kept])
-        different = F.col("node") != F.col("node2") if turn < rounds else F.col("node") < F.col("node2")
-        pairs = open_.join(chosen, "bucket").where(different & other & alike("size", "size2"))
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    links, done, roots = [], [], met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """The roots after the pairs that were not compared before."""
         for earlier in done:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = shared_table(pairs, "pairs")
         if pairs.first() is None:
-            continue
+            return roots
         done.append(pairs)
-        links.append(compared(pairs))
-        roots = component_roots(reduce(DataFrame.unionByName, links))
-    if roots is None:
-        roots = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return marked, nodes.select("node", "first"), roots
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+        links.append(shared_table(confirmed(pairs, texts, words, similarity), "copies"))
+        drop_table(texts)
+        return component_roots(reduce(DataFrame.unionByName, links))
+
+    def still_open(placed: DataFrame) -> DataFrame:
+        """The rows of buckets with nodes of several groups, with their ``root``."""
+        rooted = placed.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn(
+            "root", F.coalesce("root", "node"))
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        return shared_table(rooted.join(split, "bucket"), "open")
+
+    def second(table: DataFrame, kept: list[str]) -> DataFrame:
+        return table.select("bucket", *[F.col(c).alias(f"{c}2") for c in kept])
+
+    other = F.col("root") != F.col("root2")
+    roots = compare(fingerprint_pairs(nodes, alike))
+    open_ = still_open(met)
+    for turn in range(rounds):
+        if open_.first() is None:
+            return marked, nodes.select("node", "first"), roots
+        kept = ["node", "size", "root"]
+        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), *kept)
+        chosen = second(open_.groupBy("bucket").agg(F.min(order).alias("r")).select("bucket", "r.*"), kept)
+        roots = compare(in_order(open_.join(chosen, "bucket").where(other & alike("size", "size2"))))
+        open_ = still_open(met)
+    if open_.first() is None:
+        return marked, nodes.select("node", "first"), roots
+    texts = texts_of(open_.select("node").distinct())
+    prefixes = still_open(prefix_places(texts, words, similarity))
+    drop_table(texts)
+    left = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))       # shingles from the shared one on
+    enough = (num + den) * left >= num * (F.col("size") + F.col("size2"))
+    pairs = prefixes.join(second(prefixes, ["node", "size", "root", "place"]), "bucket").where(
+        (F.col("node") < F.col("node2")) & other & alike("size", "size2") & enough)
+    return marked, nodes.select("node", "first"), compare(in_order(pairs))
 
 
 def kept_documents(documents: DataFrame, text: str = "text", **parameters) -> DataFrame:

@@ -109,3 +109,37 @@ def test_map_columns_and_clashing_names(spark):
     table = spark.createDataFrame([(1, "a b c d e f", {"k": "v"}, "x"), (2, "a b c d e f", {"k": "w"}, "y"), (3, "z", None, None)],
                                   "doc_id long, text string, h map<string,string>, row string")
     assert sorted((r["doc_id"], r["h"], r["row"]) for r in nearcopies.kept_documents(table).collect()) == [(1, {"k": "v"}, "x"), (3, None, None)]
+
+
+def test_templates_with_own_words_do_not_meet_one_by_one(spark, monkeypatch):
+    """Texts of one template that are not alike are told apart by their rare shingles, not compared pair by pair."""
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in draw.sample(range(150), 5):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + d, t) for d, t in planted(4, 5)]
+    seen, compared = [], nearcopies.confirmed
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "confirmed", counted)
+    assert ids(spark, rows, rounds=0) == kept(rows)
+    assert sum(seen) < 10 * len(rows)                     # all pairs: 44,850
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The stage's first links are those of the Gray-order index over SimHash fingerprints of the shingles."""
+    hashes = nearcopies.shingle_hashes(" ".join(f"w{i}" for i in range(9000)))
+    bits = [2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes) for b in range(64)]
+    made = nearcopies.majority_bits(hashes, at_once=1000) % (1 << 64)
+    assert sorted(bits) == sorted(bool(made >> b & 1) for b in range(64)) and nearcopies.majority_bits(np.zeros(0, np.uint64)) == 0
+    calls, index = [], nearcopies.fingerprint_links
+    monkeypatch.setattr(nearcopies, "fingerprint_links", lambda nodes, *rest: calls.append(nodes.count()) or index(nodes, *rest))
+    rows = planted(6, 10)
+    assert ids(spark, rows) == kept(rows) and calls and calls[0] > 1
