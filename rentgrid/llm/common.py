@@ -84,16 +84,21 @@ def sent(spark: SparkSession, value) -> Callable:
     return get
 
 
+def known_labels(labels: DataFrame, key: str, label: str, modulus: int, remainder: int) -> DataFrame:
+    """``key, __label`` of all training rows. Keys with contradicting labels take the larger one."""
+    return (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()
+                         & ~held_out(F.col(key), modulus, remainder))
+            .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__label")))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, label: str, modulus: int, remainder: int,
                     rows: int, seed: str = "sample") -> DataFrame:
     """At most about ``rows`` labelled training rows ``(documents..., label)``, drawn by a hash of the key.
 
     The share drawn follows from a count, so a smaller table is used whole and the
-    same table gives the same sample. Keys with contradicting labels take the larger one.
+    same table gives the same sample.
     """
-    known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()
-                          & ~held_out(F.col(key), modulus, remainder))
-             .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__label")))
+    known = known_labels(labels, key, label, modulus, remainder)
     found = known.count()
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(found, 1)))
     return documents.join(known.where(drawn), key)

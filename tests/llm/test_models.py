@@ -150,3 +150,41 @@ def test_empty_tables(spark, nothing):
     assert quality.scored(nothing, labels).collect() == [] == toxicity.scored(nothing, labels).collect()
     assert forest.judged(nothing, labels).collect() == [] == language.languages(nothing).collect()
     assert language.accepted(nothing).collect() == []
+
+
+def plain_cut(depth, good, loss):
+    """Plain Python: the least cut that best separates the labels, among those that lose at most ``loss`` of the good rows."""
+    most = float(np.quantile(depth[good], loss))
+    if good.all():
+        return most
+    values = np.unique(depth)
+    cuts = [c for c in [*(values[1:] + values[:-1]) / 2, values[0] - 1e-9] if c <= most]
+    return max(cuts, key=lambda c: (depth[~good] < c).mean() - (depth[good] < c).mean())
+
+
+@pytest.mark.parametrize("bad,loss", [(40, 0.003), (300, 0.2), (0, 0.01)])
+def test_the_cut_counts_every_labelled_row(spark, bad, loss):
+    draw = np.random.default_rng(bad)
+    depth = np.concatenate([draw.normal(12, 1, 1000), draw.normal(9, 2, bad)]).round(2)
+    good = np.arange(len(depth)) < 1000
+    rows = spark.createDataFrame([(float(d), bool(g)) for d, g in zip(depth, good)], "path double, good boolean").repartition(5)
+    assert forest.calibrated(rows, loss) == pytest.approx(plain_cut(depth, good, loss), abs=1e-12)
+
+
+def test_the_forest_learns_from_all_rows(spark):
+    """Box and draws reach every labelled row, a table of more rows than a tree draws has different rows in its trees."""
+    draw = np.random.default_rng(9)
+    n, width = 25_000, len(forest.FEATURES)
+    x = draw.normal(size=(n, width)).round(3)
+    x[17, 0], x[n - 1, 1] = 50.0, -60.0
+    stats = spark.createDataFrame([(i, 100, 400, 0, 0, 0, r.tolist()) for i, r in enumerate(x)],
+                                  "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>")
+    labels = spark.createDataFrame([(i, int(i not in (17, n - 1))) for i in range(n)], "doc_id long, quality int")
+    learned = np.array([remainder(i, 4) != 2 for i in range(n)])
+    made, cut = forest.fitted(stats, labels, trees=20, rows=64)
+    assert (made.low == x[learned].min(axis=0)).all() and (made.high == x[learned].max(axis=0)).all() and len(made.trees) == 20
+    good = learned & ~np.isin(np.arange(n), [17, n - 1])
+    depth = made.depth(x[learned])
+    assert cut == pytest.approx(plain_cut(depth, good[learned], 0.003), abs=1e-12)
+    again, same = forest.fitted(stats.repartition(7), labels, trees=20, rows=64)
+    assert same == cut and all((a == b).all() for s, t in zip(made.trees, again.trees) for a, b in zip(s, t))
