@@ -128,3 +128,21 @@ def test_interval(spark):
     pairs = spark.createDataFrame([("p", -0.5, 0.5)], "t string, q_low double, q_high double")
     got = {r["i"]: r for r in SC.predict_interval(rows, "raw", "t", pairs, (-1.0, 1.0), "exp", cap=255).collect()}
     assert got[1]["low"] == pytest.approx(np.exp(4.5)) and got[2]["low"] == pytest.approx(np.exp(4.0)) and got[2]["high"] == 255
+
+
+def test_rows_do_not_move_to_meet_their_fold(spark):
+    """Folds of blocks are a table of known, small size, so the rows are not dealt by block."""
+    df = spark.range(2000).select("id", (F.col("id") % 13).alias("block"))
+    folded = V.block_folds(df, "block")
+    assert "Exchange" not in folded._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" in folded._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in folded._jdf.queryExecution().executedPlan().toString()
+    assert folded.count() == 2000 and folded.select("block", "fold").distinct().count() == 13
+
+
+def test_fewer_fits_side_by_side_for_more_rows(table, monkeypatch):
+    _, df = table
+    fitted = M.fold_table(df, "id", ["a", "b", "k"], "y", "fold", "block", 3)
+    assert fitted.at_once() == M.PARALLEL_FITS
+    for rows, fits in ((1300, 2), (700, 1), (10, 1)):
+        monkeypatch.setattr(M, "FITTED_ROWS", rows)
+        assert fitted.at_once() == fits
