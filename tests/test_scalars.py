@@ -103,3 +103,12 @@ def test_vintage_unknown(spark):
     assert tuple(got) == (1, 4.0, 4.0)
     with pytest.raises(ValueError):
         S.vintage(df, "2020", {"2019": "_2019"}, ["x"], ["c"])
+
+
+def test_a_quote_is_parsed_once_a_row(spark):
+    """Every further use of the parsed quote used to be a parse of its own (22 in the registered query)."""
+    raw = '{"quote":{"total_price":"90","raw_price_line_items":[{"amount":"-10","item_type":"x","description":"d"}]}}'
+    df = spark.createDataFrame([(raw, "2026-01-01", "2026-01-05"), ("{", "2026-01-01", "2026-01-05"), (None, None, None)], "q string, a string, b string")
+    out = df.select(S.quote_features("q", "a", "b").alias("f")).select("f.nights", "f.gross_price", "f.discount_share")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in out.collect()] == [(4, 25.0, 0.1), (4, None, None), (None, None, None)]
