@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rentgrid.functions import constants as K
 from rentgrid.functions.scalars import in_bbox
 from rentgrid.operators.skew import attach_per_key, first_rows, key_hash
+from rentgrid.session import shared_table
 
 BASE, PRICE = "base", "preco"
 QUARANTINE = "snapshot string, id long, regra string, motivo string, escopo string"
@@ -33,10 +34,22 @@ class Rule:
 
 def mark_repeats(df: DataFrame, keys: Sequence[str], order: str, flag: str) -> DataFrame:
     """Flag every row of a key but the one with the smallest ``order`` (NULL keys are equal)."""
-    hashed = df.withColumn("_key", key_hash(keys))
-    firsts = first_rows(hashed, ["_key"], order)
-    joined = attach_per_key(hashed, firsts, ["_key"], "_copies")
-    return joined.withColumn(flag, F.col(order) != F.col("_first")).drop("_key", "_first", "_copies")
+    return mark_all_repeats(df, {flag: keys}, order)
+
+
+def mark_all_repeats(df: DataFrame, flags: Mapping[str, Sequence[str]], order: str) -> DataFrame:
+    """``mark_repeats`` for several flags: every key is looked up in ``df`` itself, not in the joins of the flags before.
+
+    Only keys with more than one row are joined; they are written once, as the join reads them twice.
+    """
+    hashed = df.withColumns({f"_key{i}": F.unhex(key_hash(keys)) for i, keys in enumerate(flags.values())})
+    out = hashed
+    for i, flag in enumerate(flags):
+        key = f"_key{i}"
+        repeated = shared_table(first_rows(hashed, [key], order).where("_copies > 1"), "repeats")
+        out = attach_per_key(out, repeated, [key], "_copies").withColumn(
+            flag, F.col(order) != F.coalesce("_first", order)).drop(key, "_first", "_copies")
+    return out.select(*df.columns, *flags)
 
 
 def mark_groups(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
@@ -104,7 +117,9 @@ def tag(df: DataFrame, rules: Sequence[Rule], snapshot: str | Column) -> DataFra
                 out = F.when(F.col("hits")[i - 1], F.lit(i)).otherwise(out)
         return out
 
-    tagged = df.withColumn("hits", F.array(*[hit(r) for r in rules])).withColumn("_snapshot", label)
+    # a slice, as the planner would put the rule behind every place of a plain array that is read (each first() reads all)
+    hits = F.slice(F.array(*[hit(r) for r in rules]), 1, len(rules))
+    tagged = df.withColumn("hits", hits).withColumn("_snapshot", label)
     tagged = tagged.withColumn("base_hit", first(BASE))
     return tagged.withColumn("price_hit", F.when(F.col("base_hit") == 0, first(PRICE)).otherwise(F.lit(0)))
 
@@ -150,6 +165,11 @@ def cascade_report(report: DataFrame) -> DataFrame:
     return report.withColumn("restam", F.col("entrada") - F.sum("cascata").over(by_scope))
 
 
+def tags(tagged: DataFrame) -> DataFrame:
+    """What reports read of tagged rows, written once: a report, its check and its result are passes of their own."""
+    return shared_table(tagged.select("_snapshot", "hits", "base_hit", "price_hit"), "tags")
+
+
 def check_balance(report: DataFrame, tagged: DataFrame) -> DataFrame:
     """``report`` itself, or an error when input - removed != kept or kept - price != valid."""
     sums = {r["snapshot"]: r for r in report.groupBy("snapshot").agg(

@@ -70,12 +70,12 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def key_hash(columns: Sequence[str]) -> Column:
     """A 256-bit key for whole-row comparison in which NULL equals NULL."""
-    parts = []
-    for name in columns:
-        text = F.col(f"`{name}`").cast("string")
-        # length prefix: ('ab','c') and ('a','bc') must differ; '-' marks NULL
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    texts = F.array(*[F.col(f"`{name}`").cast("string") for name in columns])
+    # length prefix: ('ab','c') and ('a','bc') must differ; '-' marks NULL.
+    # A lambda instead of an expression per column: with many columns their generated code grows past what a JVM compiles.
+    parts = F.transform(texts, lambda text: F.coalesce(
+        F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.sha2(F.concat_ws("|", parts), 256)
 
 
 def one_row(df: DataFrame) -> Column:

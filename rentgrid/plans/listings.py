@@ -16,6 +16,7 @@ from rentgrid.operators import quarantine as Q
 from rentgrid.operators.skew import attach_per_key
 from rentgrid.plans.registry import query, read, rounded
 from rentgrid.plans.tables import LAT, LON, REF_DATE, SPLIT, place, rd
+from rentgrid.session import shared_table
 
 FIRST, SECOND = "2019", "2026"
 DEFLATOR = 1.25
@@ -60,8 +61,7 @@ def rules() -> list[Q.Rule]:
 def tagged_listings(spark: SparkSession, sf: str) -> DataFrame:
     df = Q.neutral_names(raw_listings(spark, sf), NEUTRAL)
     same = [c for c in df.columns if c not in ("row", "id", "day")]
-    df = Q.mark_repeats(df, ["snapshot", "id"], "row", "rep_id")
-    df = Q.mark_repeats(df, same, "row", "rep_row")
+    df = Q.mark_all_repeats(df, {"rep_id": ["snapshot", "id"], "rep_row": same}, "row")
     known = read(spark, sf, "nation").where("n_nationkey % 8 <> 3")
     df = Q.mark_unknown(df, "area", known, "n_name", "unknown_area")
     return Q.tag(df, rules(), F.col("snapshot"))
@@ -133,17 +133,18 @@ SELECT snapshot, CAST(i - 1 AS INTEGER) AS ordem, {CODES}[i] AS codigo,
   entrada - CAST(sum(cascata) OVER (PARTITION BY snapshot ORDER BY i) AS BIGINT) AS restam
 FROM sums WHERE NOT (i = 10 AND snapshot = '{FIRST}')""")
 def listing_cascade(spark, sf):
-    tagged = tagged_listings(spark, sf)
+    tagged = Q.tags(tagged_listings(spark, sf))
     return Q.check_balance(Q.cascade_report(Q.rule_report(tagged, rules())), tagged)
 
 
 def cleaned(tagged: DataFrame) -> DataFrame:
     """The rows that stay, with the derived columns of a cleaned listing.
 
-    A host with very many listings is split when its count is attached.
+    A host with very many listings is split when its count is attached. The rows are written once,
+    as they are counted and then joined.
     """
-    base = Q.kept(tagged)
-    sizes = base.groupBy("snapshot", "host_id").agg(F.count(F.lit(1)).alias("host_listings"))
+    base = shared_table(Q.kept(tagged), "kept-listings")
+    sizes = shared_table(base.groupBy("snapshot", "host_id").agg(F.count(F.lit(1)).alias("host_listings")), "host-sizes")
     base = attach_per_key(base, sizes, ["snapshot", "host_id"], "host_listings")
     quote = F.concat(F.lit('{"quote":{"total_price":"10","raw_price_line_items":[{"amount":"'),
                      (F.col("host_id") % 97).cast("string"), F.lit(f'.5","item_type":"x","description":"{MONTHLY}"}}]}}}}'))

@@ -81,7 +81,7 @@ SELECT snapshot, CAST(ordem AS INTEGER) AS ordem, codigo, regra, escopo, entrada
        entrada - CAST(sum(cascata) OVER (PARTITION BY snapshot ORDER BY ordem) AS BIGINT) AS restam
 FROM report""")
 def cascade_report(spark, sf):
-    tagged = tagged_orders(spark, sf)
+    tagged = Q.tags(tagged_orders(spark, sf))
     report = Q.cascade_report(Q.rule_report(tagged, order_rules()))
     return Q.check_balance(report, tagged)
 
