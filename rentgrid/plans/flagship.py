@@ -9,6 +9,7 @@ from rentgrid.operators import panel, quarantine as Q
 from rentgrid.plans.market import PERIODS, TAGGED, order_rules, tagged_orders
 from rentgrid.plans.registry import query, rounded
 from rentgrid.plans.tables import rd
+from rentgrid.session import shared_table
 
 SQL = f"""WITH {TAGGED}, ok AS (SELECT * FROM hit WHERE h = 0), c AS (
   SELECT stratum, room_type, count(*) FILTER (WHERE snapshot = 'A') AS n_a,
@@ -23,8 +24,9 @@ SELECT stratum, room_type, n_a, n_b, {rd("price_a")} AS price_a, {rd("price_b")}
 
 @query("market_change", SQL)
 def market_change(spark, sf) -> DataFrame:
-    priced = Q.kept(tagged_orders(spark, sf)).where("preco_valido")
     strata = ["stratum", "room_type"]
+    # written once: means and medians are several passes over these rows
+    priced = shared_table(Q.kept(tagged_orders(spark, sf)).where("preco_valido").select(*strata, "snapshot", "price", "lp"), "priced-orders")
     parts = panel.shift_share(priced, strata, "snapshot", PERIODS, F.col("lp"))
     levels = panel.compare_by(priced, strata, "snapshot", PERIODS, "price", F.lit(True), {})
     return rounded(parts.select(*strata, "n_a", "n_b", "composition", "within")
