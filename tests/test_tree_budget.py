@@ -104,3 +104,15 @@ def test_steps_share_one_table_and_agree_with_single_fits(spark):
     assert joined.where("abs(oof_one - oof) > 1e-9 OR oof IS NULL").count() == 0
     errors = {r["model"]: r["mae"] for r in M.ladder_metrics(oof.withColumn("y", F.col("y")), "y").collect()}
     assert errors["one"] < errors["mid"]
+
+
+def test_a_falling_error_takes_two_fits(spark, hidden, monkeypatch):
+    """Budgets of 4, 8, 16 and 20 were 48 trees for the same model."""
+    grow, held = hidden
+    steady = replace(SMALL, max_trees=20, patience=3, feature_share=1.0, step=0.1)
+    budgets, plain = [], M._estimator
+    monkeypatch.setattr(M, "_estimator", lambda p, classifier, trees: budgets.append(trees) or plain(p, classifier, trees))
+    model = M.boosted(grow, held, steady, False)
+    assert budgets == [4, 20] and 16 < model.getNumTrees <= 20
+    alone = plain(steady, False, model.getNumTrees).fit(grow)
+    assert model.toDebugString.split("\n", 1)[1] == alone.toDebugString.split("\n", 1)[1]
