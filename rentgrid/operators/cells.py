@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions import hexgrid as H
 from rentgrid.operators.panel import share
-from rentgrid.operators.ranks import medians
+from rentgrid.operators.ranks import medians, medians_by_dimension
 from rentgrid.operators.spatial import cover, land_fraction, nearest_polygon
-from rentgrid.session import cut_lineage
+from rentgrid.session import cut_lineage, shared_table
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, columns: Sequence[str], dim_key: str | None = None) -> DataFrame:
@@ -179,24 +179,26 @@ def rent_block(df: DataFrame, price: str, nights: str, revenue: str, rent: str,
                dims: Mapping[str, tuple[str | None, int]], id_columns: Sequence[str] = ()) -> DataFrame:
     """Long-term rent against short-term revenue: overall and per dimension.
 
-    ``dims`` maps a label to (column or None for all rows, smallest group). The
-    metrics of a row are computed once and unpivoted over the dimensions.
+    ``dims`` maps a label to (column or None for all rows, smallest group). The rows
+    are written once and read for the sizes and the medians of all dimensions, never repeated per dimension.
     """
+    labels = {d: F.col(c).cast("string") if c else F.lit("all") for d, (c, _) in dims.items()}
+    needed = list(dict.fromkeys([price, nights, revenue, rent, *[c for c, _ in dims.values() if c]]))
+    rows = shared_table(df.where(F.col(rent).isNotNull()).select(*needed), "rent-rows")
     year = 12 * F.col(rent)
     ratio = F.try_divide(F.col(revenue), year)
-    rows = df.where(F.col(rent).isNotNull())
-    labels = F.array(*[F.struct(F.lit(d).alias("dimension"), (F.col(c).cast("string") if c else F.lit("all")).alias("label"),
-                                F.lit(m).alias("min_n")) for d, (c, m) in dims.items()])
-    tall = rows.select(F.col(rent).alias("rent_month"), year.alias("rent_year"), F.col(revenue).alias("revenue"),
-                       F.col(price).alias("price"), F.col(nights).alias("nights"),
-                       F.try_divide(year, F.col(price)).alias("break_even_nights"), ratio.alias("ratio"),
-                       F.explode(labels).alias("d")).select("*", "d.*").where("label IS NOT NULL")
-    keys = ["dimension", "label"]
-    size = tall.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("min_n").alias("min_n"),
-                                   share(F.col("ratio") > 1).alias("share_above"))
-    names = ["rent_month", "rent_year", "revenue", "price", "nights", "break_even_nights", "ratio"]
-    middle = medians(tall, keys, {m: F.col(m) for m in names})
-    return size.where(F.col("n") >= F.col("min_n")).drop("min_n").join(middle, keys, "left")
+    names = [f"_d{i}" for i in range(len(dims))]
+    counted = rows.groupBy(*[c.alias(n) for n, c in zip(names, labels.values())]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ratio > 1).alias("_above"), F.count(ratio).alias("_known"))
+    tall = counted.select("n", "_above", "_known", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(n).alias("label"), F.lit(m).alias("min_n"))
+        for n, (d, (_, m)) in zip(names, dims.items())]))).where("label IS NOT NULL")
+    size = tall.groupBy("dimension", "label").agg(
+        F.sum("n").alias("n"), F.max("min_n").alias("min_n"), F.try_divide(F.sum("_above"), F.sum("_known")).alias("share_above"))
+    middle = medians_by_dimension(rows, labels, {
+        "rent_month": F.col(rent), "rent_year": year, "revenue": F.col(revenue), "price": F.col(price), "nights": F.col(nights),
+        "break_even_nights": F.try_divide(year, F.col(price)), "ratio": ratio})
+    return size.where(F.col("n") >= F.col("min_n")).drop("min_n").join(middle, ["dimension", "label"], "left")
 
 
 def overprice(df: DataFrame, y: str, prediction: str, nights: str, stratum: str, bands) -> DataFrame:
