@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Files are streamed in blocks of so many bytes.
 BLOCK = 1 << 20
+#: Files of more bytes are streamed: one that is read whole takes several times its size of a task's memory.
+WHOLE = 1 << 25
 
 
 def stream_hashes(batches):
@@ -34,7 +36,7 @@ def stream_hashes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "sha256"])
 
 
-def file_table(spark: SparkSession, folder: str, pattern: str = "*", largest: int = 1 << 30) -> DataFrame:
+def file_table(spark: SparkSession, folder: str, pattern: str = "*", largest: int = WHOLE) -> DataFrame:
     """``(path, size, sha256)`` of the files below a folder; the path is relative to it.
 
     Sizes come from the listing alone. Files up to ``largest`` bytes are read whole for

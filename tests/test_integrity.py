@@ -25,3 +25,16 @@ def test_a_file_without_hash_is_not_gone(spark):
     got = {r["path"]: tuple(r)[1:] for r in merge_manifest(old, new).collect()}
     assert got["p"] == (None, 7, "d2", "q2", None, "h")
     assert got["gone"] == ("h", 5, "d1", "q1", None, None)
+
+
+def test_files_of_some_size_are_streamed_by_default(spark, tmp_path):
+    """A file read whole is held in one cell and copied there, so its size is bounded by 32 MiB and not by a gibibyte."""
+    import hashlib
+
+    content = b"0123456789abcdef" * (1 << 21) + b"x"
+    (tmp_path / "big.bin").write_bytes(content)
+    (tmp_path / "small.bin").write_bytes(b"s")
+    files = file_table(spark, str(tmp_path))
+    assert "MapInArrow" in files._jdf.queryExecution().toString()
+    got = {r["path"]: (r["size"], r["sha256"]) for r in files.collect()}
+    assert got == {"big.bin": (len(content), hashlib.sha256(content).hexdigest()), "small.bin": (1, hashlib.sha256(b"s").hexdigest())}
