@@ -259,7 +259,7 @@ def merge_cells(spark, sf):
 
 @query("cell_base")
 def cell_base(spark, sf):
-    return rounded(C.cell_base(triangles(spark, sf), "area_name", ["area_name"], 8, (6,)), 4)
+    return rounded(C.cell_base(triangles(spark, sf), "area_name", ["area_name"]), 4)
 
 
 @query("location_premium", f"""WITH {PO}, p AS (SELECT cell, lp - avg(lp) OVER (PARTITION BY stratum) AS premium FROM po)

@@ -75,3 +75,17 @@ def test_nearest_polygon_is_the_same_with_and_without_the_filter(spark, monkeypa
         rows = SP.nearest_polygon(points, polygons, "id", ["name"]).collect()
         got.append(sorted((r["id"], r["name"], r["how"], round(r["distance"], 9)) for r in rows))
     assert got[0] == got[1] and {r[2] for r in got[0]} == {"contem", "proximo"}
+
+
+def test_the_registered_cell_base_has_the_operators_own_grid(spark, monkeypatch):
+    """Its cells are the finest ones with both parents; a coarser grid is a sixth of the work."""
+    import inspect
+
+    from rentgrid.operators import cells
+    from rentgrid.plans import QUERIES, cell_tables
+
+    sign, asked = inspect.signature(cells.cell_base), []
+    monkeypatch.setattr(cell_tables.C, "cell_base", lambda *a, **b: asked.append(sign.bind(*a, **b)) or spark.range(1))
+    QUERIES["cell_base"](spark, "/root/testdata/sf0.001")
+    asked[0].apply_defaults()
+    assert asked[0].arguments["res"] == 9 and tuple(asked[0].arguments["coarser"]) == (8, 6)
